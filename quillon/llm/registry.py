@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from quillon.llm.bpe import op9_bpe
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillon.llm.license_scan import OP1_SQL, op1_license_scan
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op9_bpe": op9_bpe,
 }
 
 SQL = {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}

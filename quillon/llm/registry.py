@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from quillon.llm.bpe import op9_bpe
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from quillon.llm.language_id import op6_language_id
 from quillon.llm.license_scan import OP1_SQL, op1_license_scan
+from quillon.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL = {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}

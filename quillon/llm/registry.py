@@ -6,12 +6,14 @@ from quillon.llm.bpe import op9_bpe
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillon.llm.language_id import op6_language_id
 from quillon.llm.license_scan import OP1_SQL, op1_license_scan
+from quillon.llm.simhash import op8_simhash
 from quillon.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }

@@ -56,3 +56,52 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     may split a key that holds a third of the rows."""
     salt = F.xxhash64(*keys)
     return rows.withColumn("__salt", salt).join(groups.withColumn("__salt", salt), [*keys, "__salt"], how).drop("__salt")
+
+
+def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
+    """Adds a row identity that every later scan gives again: hash of the file and row in it, for plain
+    reads of files. Anything else is staged with a running number."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    nodes = {line.strip(" :+-|").split(" ")[0].strip("'!") for line in plan.splitlines() if line.strip()}
+    if nodes <= {"Project", "Filter", "Relation"} and "parquet" in plan:
+        meta = df.metadataColumn("_metadata")
+        return df.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("r")).alias(name))
+    return staged(df.select("*", F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")).alias(name)), "rows")
+
+
+def blocked_filter(hashes: DataFrame, blocks: int, least: int = 1) -> DataFrame:
+    """(block, bits): a blocked Bloom filter as 4 KB bitmaps, holding the bits that at least ``least``
+    rows of ``hashes`` (h) hit."""
+    hits = hashes.select(F.pmod("h", F.lit(blocks)).alias("block"), F.explode(F.array_distinct(F.array(*filter_bits(F.col("h"))))).alias("pos"))
+    kept = hits.groupBy("block", "pos").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return kept.groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("pos")).alias("bits"))
+
+
+#: Bits of one block of a Bloom filter: what bitmap_construct_agg packs into a bitmap.
+BLOCK_BITS = 32768
+
+
+def filter_bits(h: Column) -> list[Column]:
+    """The two bits of a hash within its block."""
+    return [F.pmod(F.shiftrightunsigned(h, shift), F.lit(BLOCK_BITS)) for shift in (16, 40)]
+
+
+def bit_set(bits: Column, pos: Column) -> Column:
+    """Whether a bit of a bitmap is set."""
+    byte = F.conv(F.hex(F.substring(bits, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def flag_members(rows: DataFrame, hashes: DataFrame, count: int, least: int = 1, out: str = "again", bits_per_row: int = 16, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """Adds a boolean ``out`` to rows (h): false only if fewer than ``least`` of ``hashes`` (h, about
+    ``count`` rows) equal the row's. The filter is broadcast while its size, known beforehand, is at
+    most ``max_broadcast_bytes``, and joined by block beyond that."""
+    blocks = max(1, -(-count * bits_per_row // BLOCK_BITS))
+    seen = blocked_filter(hashes, blocks, least)
+    if blocks * (BLOCK_BITS // 8) <= max_broadcast_bytes:
+        seen = F.broadcast(seen)
+    first, second = filter_bits(F.col("h"))
+    return (
+        rows.withColumn("block", F.pmod("h", F.lit(blocks))).join(seen, "block", "left")
+        .withColumn(out, F.coalesce(bit_set(F.col("bits"), first) & bit_set(F.col("bits"), second), F.lit(False))).drop("bits", "block")
+    )

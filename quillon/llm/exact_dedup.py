@@ -12,33 +12,12 @@ The filter takes ``bits_per_row`` bits a row. It is broadcast while it is at mos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, join_groups, staged
+from quillon.llm.common import ascii_lower, flag_members, join_groups, staged
 from quillon.session import table
 
-#: Bits of one block: what bitmap_construct_agg packs into a bitmap.
-BLOCK_BITS = 32768
-
-
-def _bits(h: Column) -> list[Column]:
-    return [F.pmod(F.shiftrightunsigned(h, shift), F.lit(BLOCK_BITS)) for shift in (16, 40)]
-
-
-def _is_set(bits: Column, pos: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (pos / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-
-
-def repeat_filter(hashes: DataFrame, blocks: int) -> DataFrame:
-    """(block, bits): the filter's plane of bits that at least two rows of ``hashes`` (h) hit."""
-    return (
-        hashes.select(F.pmod("h", F.lit(blocks)).alias("block"), F.explode(F.array_distinct(F.array(*_bits(F.col("h"))))).alias("pos"))
-        .groupBy("block", "pos").agg(F.count("*").alias("n")).where("n > 1")
-        .groupBy("block").agg(F.call_function("bitmap_construct_agg", F.col("pos")).alias("bits"))
-    )
-
 
 def exact_dedup(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_broadcast_bytes: int = 64 << 20
@@ -56,16 +35,7 @@ def exact_dedup(
         ),
         "exact",
     )
-    blocks = max(1, -(-rows.count() * bits_per_row // BLOCK_BITS))
-    seen = repeat_filter(rows.select("h"), blocks)
-    if blocks * (BLOCK_BITS // 8) <= max_broadcast_bytes:
-        seen = F.broadcast(seen)
-    first, second = _bits(F.col("h"))
-    flagged = (
-        rows.withColumn("block", F.pmod("h", F.lit(blocks))).join(seen, "block", "left")
-        .withColumn("again", F.coalesce(_is_set(F.col("bits"), first) & _is_set(F.col("bits"), second), F.lit(False)))
-        .drop("bits", "block")
-    )
+    flagged = flag_members(rows, rows.select("h"), rows.count(), 2, "again", bits_per_row, max_broadcast_bytes)
     once = flagged.where(~F.col("again")).select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )

@@ -6,6 +6,7 @@ from quillon.llm.bpe import op9_bpe
 from quillon.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from quillon.llm.language_id import op6_language_id
 from quillon.llm.license_scan import OP1_SQL, op1_license_scan
+from quillon.llm.line_dedup import OP7_SQL, op7_line_dedup
 from quillon.llm.simhash import op8_simhash
 from quillon.llm.toxicity import op10_toxicity
 
@@ -13,9 +14,10 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
-SQL = {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL}
+SQL = {"op1_license_scan": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL}

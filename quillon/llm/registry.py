@@ -9,6 +9,7 @@ from quillon.llm.language_id import op6_language_id
 from quillon.llm.license_scan import OP1_SQL, op1_license_scan
 from quillon.llm.line_dedup import OP7_SQL, op7_line_dedup
 from quillon.llm.simhash import op8_simhash
+from quillon.llm.suffix_dedup import op5_suffix_dedup
 from quillon.llm.toxicity import op10_toxicity
 from quillon.llm.warc import OP3_SQL, op3_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_simhash": op8_simhash,

@@ -58,6 +58,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str =
     return rows.withColumn("__salt", salt).join(groups.withColumn("__salt", salt), [*keys, "__salt"], how).drop("__salt")
 
 
+def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], most: int = 1 << 20) -> DataFrame:
+    """Inner join with a staged table of short rows: it is broadcast if it has at most ``most`` rows,
+    and joined with skew handling beyond that."""
+    return rows.join(F.broadcast(groups), keys) if groups.count() <= most else join_groups(rows, groups, keys)
+
+
 def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
     """Adds a row identity that every later scan gives again: hash of the file and row in it, for plain
     reads of files. Anything else is staged with a running number."""

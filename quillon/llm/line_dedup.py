@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import flag_members, join_groups, staged, with_row_id
+from quillon.llm.common import flag_members, join_counted, join_groups, staged, with_row_id
 from quillon.session import table
 
 #: Shorter lines (in characters) are left alone. At least twice the shorter end of _ends.
@@ -97,7 +97,7 @@ def near_lines(distinct: DataFrame, texts) -> DataFrame:
     lines = staged(lines.join(second, ["h", "h2"]).join(distinct.select("h", "h2", "at"), ["h", "h2"]), "near-lines")
     keyed = staged(lines.select("h", "h2", "line").mapInPandas(_variants, "k long, role byte, h long, h2 long"), "variants")
     shared = staged(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    own = join_groups(keyed, shared, ["k"]).select("k", "role", "h", "h2").join(lines.select("h", "h2", "at"), ["h", "h2"])
+    own = join_counted(keyed, shared, ["k"]).select("k", "role", "h", "h2").join(lines.select("h", "h2", "at"), ["h", "h2"])
     own = staged(own, "shared-variants")
     me = F.struct("at", "h", "h2")
     least = own.groupBy("k").agg(

@@ -1 +1,6 @@
+"""Queries over the driver's tables, one or more for every operator."""
 
+from quillon.plans import relational_queries  # noqa: F401
+from quillon.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -31,12 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+#: Removes an execution's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, row ids made by
-    ``monotonically_increasing_id`` stay fixed, and a lost executor costs nothing upstream."""
+    ``monotonically_increasing_id`` stay fixed, and a lost executor costs nothing upstream. The write's
+    shuffle files go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

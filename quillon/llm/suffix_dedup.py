@@ -31,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import flag_members, staged, with_row_id
+from quillon.llm.common import discard, flag_members, staged, with_row_id
 from quillon.session import table
 
 LENGTH = 400
 GRAM = 64
 #: Bytes of contexts that a task gathers before it writes a run, and of runs that one task merges.
-RUN_BYTES = 48 << 20
+RUN_BYTES = 32 << 20
 MERGE_BYTES = 12 << 20
 #: Windows of a document that are looked at together (positions take 24 bits of an anchor's rank).
 SEGMENT = 1 << 22
@@ -224,26 +224,35 @@ def recurring_offsets(shared: np.ndarray, backs: list[bytes], lengths: np.ndarra
     return least, most
 
 
-_RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("seq", pa.int32()), ("block", pa.binary()), ("number", pa.int32()), ("f", pa.int64()), ("r", pa.int64()), ("a", pa.int64())])
-_RUNS_SQL = "part int, run string, seq int, block binary, number int, f long, r long, a long"
+_RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("block", pa.binary()), ("number", pa.int32()), ("f", pa.int64()), ("r", pa.int64()), ("a", pa.int64())])
+_RUNS_SQL = "part int, run string, block binary, number int, f long, r long, a long"
 
 
 def _sorted_runs(length: int, parts: int):
-    """Rows of two kinds: a run's blocks (part, run, seq, block), and members (run, number, f, r, a)."""
+    """Rows of two kinds: a run's blocks (part, run, block), and members (run, number, f, r, a)."""
+
+    def batch(n: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _RUNS], schema=_RUNS)
 
     def flush(entries: dict) -> Iterator[pa.RecordBatch]:
-        run, rows, members = uuid.uuid4().hex, [], []
-        blocks: dict[int, list] = {}
+        run, numbers, owned = uuid.uuid4().hex, [], []
+        part, own = None, []
         for number, key in enumerate(sorted(entries)):
-            owners = entries[key]
-            blocks.setdefault(key[0] * parts >> 64, []).append((*key, number, len(owners) > 1))
-            members += ({"run": run, "number": number, "f": f, "r": r, "a": a} for f, r, a in owners)
-        for part, own in blocks.items():
-            rows.append({"part": part, "run": run, "seq": 0, "block": front_code(own)})
-        for lo in range(0, len(rows), 64):
-            yield pa.RecordBatch.from_pylist(rows[lo : lo + 64], schema=_RUNS)
-        for lo in range(0, len(members), 20_000):
-            yield pa.RecordBatch.from_pylist(members[lo : lo + 20_000], schema=_RUNS)
+            owners = entries.pop(key)
+            numbers += [number] * (len(owners) // 3)
+            owned += owners
+            if len(numbers) >= 20_000:
+                yield batch(len(numbers), run=[run] * len(numbers), number=numbers, f=owned[::3], r=owned[1::3], a=owned[2::3])
+                numbers, owned = [], []
+            if key[0] * parts >> 64 != part:
+                if own:
+                    yield batch(1, part=[part], run=[run], block=[front_code(own)])
+                part, own = key[0] * parts >> 64, []
+            own.append((*key, number, len(owners) > 3))
+        if own:
+            yield batch(1, part=[part], run=[run], block=[front_code(own)])
+        if numbers:
+            yield batch(len(numbers), run=[run] * len(numbers), number=numbers, f=owned[::3], r=owned[1::3], a=owned[2::3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: dict[tuple[int, bytes, bytes], list] = {}
@@ -255,14 +264,14 @@ def _sorted_runs(length: int, parts: int):
                     a = x["a"]
                     key = (x["h"] & (1 << 64) - 1, data[a : a - x["least"] + length], data[a - x["most"] : a][::-1])
                     if key in entries:
-                        entries[key].append((f, r, a))
+                        entries[key] += (f, r, a)
                         held += 60
                     else:
-                        entries[key] = [(f, r, a)]
-                        held += 300 + len(key[1]) + len(key[2])
+                        entries[key] = [f, r, a]
+                        held += 500 + len(key[1]) + len(key[2])
                 if held > RUN_BYTES:
                     yield from flush(entries)
-                    entries, held = {}, 0
+                    held = 0
         if entries:
             yield from flush(entries)
 
@@ -315,9 +324,11 @@ def repeated_spans(docs: DataFrame, text: Column, length: int = LENGTH) -> DataF
     found = staged(rows.where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length), "f long, r long, a long, least int, most int, h long"), "anchors")
     again = flag_members(found, found.select("h"), found.count(), 2).where("again")
     again = staged(again.groupBy("f", "r").agg(F.collect_list(F.struct("a", "least", "most", "h")).alias("found")), "repeated-anchors")
+    discard(found)
     contexts = again.agg(F.sum(F.size("found"))).first()[0] or 0
     parts = max(12, -(-contexts * 2 * length // MERGE_BYTES))
     runs = staged(rows.join(again, ["f", "r"]).select("f", "r", "text", "found").mapInArrow(_sorted_runs(length, parts), _RUNS_SQL), "suffix-runs")
+    discard(again)
     blocks = runs.where("block is not null").select("part", "run", "block").repartition(parts, "part").sortWithinPartitions("part", "run")
     offsets = staged(blocks.mapInArrow(_merge(length), "run string, number int, least int, most int"), "offsets")
     members = runs.where("block is null").select("run", "number", "f", "r", "a")

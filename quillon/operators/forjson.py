@@ -21,7 +21,7 @@ def shown(x: Column, kind: DataType, raw: bool = False) -> Column:
         text = x
     elif isinstance(kind, StringType):
         whole = F.to_json(F.struct(x.alias("v")))
-        text = F.substring(whole, F.lit(6), F.length(whole) - 6)
+        text = F.when(x.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
     elif isinstance(kind, (DoubleType, FloatType)):
         text = S.real_text(x.cast("double"))
     elif isinstance(kind, (TimestampType, TimestampNTZType)):

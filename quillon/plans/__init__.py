@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for every operator."""
 
-from quillon.plans import function_queries, relational_queries, window_queries  # noqa: F401
+from quillon.plans import change_queries, function_queries, json_queries, relational_queries, source_queries, window_queries  # noqa: F401
 from quillon.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

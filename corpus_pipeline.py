@@ -44,8 +44,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds n_tokens, ids and decoded_sha256 of every text."""
-    coded = encode_decode(docs, default_tokenizer(), out="__bpe")
-    return coded.select(*docs.columns, F.size("__bpe.ids").cast("long").alias("n_tokens"), F.col("__bpe.ids").alias("ids"), F.sha2("__bpe.decoded", 256).alias("decoded_sha256"))
+    return encode_decode(docs, default_tokenizer(), fields=("n_tokens", "ids", "decoded_sha256"))
 
 
 STAGES = [

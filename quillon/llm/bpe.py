@@ -19,16 +19,18 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from quillon.session import table
 
 #: White space as the tokenizer's patterns see it.
 SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a worker's young cache; when it is full, it becomes the old one and the old one goes.
-CACHE = 200_000
+CACHE = 120_000
 
 
 def byte_symbols() -> list[str]:
@@ -171,36 +173,6 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
-def bpe(text: Column, path: str) -> Column:
-    """struct(ids, decoded): token ids and decoded text of whole texts; null is the empty text."""
-
-    @F.pandas_udf("ids array<int>, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for texts in batches:
-            done = [loaded(path).encode(t) for t in texts]
-            yield pd.DataFrame({"ids": [np.frombuffer(p, "<u4").astype("i4") for p, _ in done], "decoded": [d for _, d in done]})
-
-    return run(text)
-
-
-def bpe_digest(text: Column, path: str) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256): the same encoding, only digests leave the worker."""
-
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        sha = hashlib.sha256
-        for texts in batches:
-            done = []
-            for t in texts:
-                packed, shown = loaded(path).encode(t)
-                done.append((len(packed) // 4, sha(packed).hexdigest(), sha(shown.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(done, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return run(text)
-
-
 def default_tokenizer() -> str:
     """Where the public word vocabulary lies on this machine."""
     import public_tokenizers
@@ -208,14 +180,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode_decode(df: DataFrame, path: str, text_col: str = "text", digests: bool = False, out: str = "bpe") -> DataFrame:
-    """Adds a struct column ``out`` (replaced if it exists) to every row: the token ids and decoded
-    text, or their digests. Null and empty texts have no tokens and decode to the empty text. Rows
-    are independent, so repeated rows, null ids and columns of any name pass through."""
-    return df.withColumn(out, (bpe_digest if digests else bpe)(F.col(text_col), path))
+#: What an encoding may return, by field: its type and how it follows from packed ids and decoded text.
+_FIELDS = {
+    "n_tokens": (pa.int64(), lambda packed, shown: len(packed) // 4),
+    "ids": (pa.list_(pa.int32()), lambda packed, shown: np.frombuffer(packed, "<i4")),
+    "decoded": (pa.string(), lambda packed, shown: shown),
+    "ids_sha256": (pa.string(), lambda packed, shown: hashlib.sha256(packed).hexdigest()),
+    "decoded_sha256": (pa.string(), lambda packed, shown: hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest()),
+}
+#: Rows that are encoded before they go back to the JVM, so a worker holds few results at a time.
+ROWS = 128
+
+
+def encode_decode(df: DataFrame, path: str, text_col: str = "text", fields: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """Adds the named fields of every row's encoding (n_tokens, ids, decoded, ids_sha256,
+    decoded_sha256; columns of these names are replaced). Null and empty texts have no tokens and
+    decode to the empty text. Rows are independent, so repeated rows, null ids and columns of any
+    other name pass through; an empty table stays empty."""
+    kept = df.drop(*fields) if text_col not in fields else df
+    at = kept.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = loaded(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                done = [coder.encode(t) for t in part.column(at).to_pylist()]
+                new = [pa.array([_FIELDS[f][1](*d) for d in done], _FIELDS[f][0]) for f in fields]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *fields])
+
+    schema = StructType([*kept.schema.fields, *(StructField(f, from_arrow_type(_FIELDS[f][0])) for f in fields)])
+    return kept.mapInArrow(run, schema)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query over every whole text of ``documents``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs, default_tokenizer(), digests=True).select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
+    return encode_decode(docs, default_tokenizer(), fields=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")

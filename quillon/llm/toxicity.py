@@ -102,9 +102,7 @@ class Chain:
 
     def marginals(self, emissions: list[float]) -> np.ndarray:
         """P(item is toxic) of every item, by forward-backward."""
-        e = np.zeros((len(emissions), 2))
-        e[:, 1] = emissions
-        return forward_backward(e[None], np.array([len(emissions)]), self.start, self.move)[0][0, :, 1]
+        return forward_backward(np.array(emissions)[:, None], np.array([len(emissions)]), self.start, self.move)[0][:, 0]
 
 
 def np_add(a: float, b: float) -> float:
@@ -125,24 +123,33 @@ def calibrated(clean: float, scale: tuple[float, float]) -> float:
 
 
 def forward_backward(e: np.ndarray, n: np.ndarray, start: np.ndarray, move: np.ndarray):
-    """Marginals [d, k, 2], expected transitions [2, 2] and log Z of padded chains e [d, k, 2] of n items."""
-    d, k, _ = e.shape
-    alpha, beta = np.empty_like(e), np.zeros_like(e)
-    alpha[:, 0] = start + e[:, 0]
+    """P(toxic) [k, d], expected transitions [2, 2] and log Z [d] of padded chains: e [k, d] holds the
+    toxic state's emission weights (the other's are 0), n the items of each chain."""
+    k, d = e.shape
+    (m00, m01), (m10, m11) = move
+    a0, a1, b0, b1 = np.empty_like(e), np.empty_like(e), np.zeros_like(e), np.zeros_like(e)
+    a0[0], a1[0] = start[0], start[1] + e[0]
     for t in range(1, k):
-        alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1) + e[:, t]
+        p, q = a0[t - 1], a1[t - 1]
+        a0[t] = np.logaddexp(p + m00, q + m10)
+        a1[t] = np.logaddexp(p + m01, q + m11) + e[t]
     for t in range(k - 2, -1, -1):
-        step = np.logaddexp.reduce(move + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-        beta[:, t] = np.where((t < n - 1)[:, None], step, 0.0)
-    z = np.logaddexp.reduce(alpha[np.arange(d), n - 1], axis=1)
-    inside = np.arange(k) < n[:, None]
-    marginals = np.where(inside[..., None], np.exp(alpha + beta - z[:, None, None]), 0.0)
-    pairs = alpha[:, :-1, :, None] + move + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]
-    expected = np.exp(np.where(inside[:, 1:, None, None], pairs, -np.inf)).sum(axis=(0, 1)) if k > 1 else np.zeros((2, 2))
-    return marginals, expected, z
-
-
-def fit(docs: list[tuple[list[tuple[int, list[int]]], int, int]], vocabulary: dict[str, int], rounds: int = 150) -> Chain:
+        p, q, more = b0[t + 1], e[t + 1] + b1[t + 1], t < n - 1
+        b0[t] = np.where(more, np.logaddexp(p + m00, q + m01), 0.0)
+        b1[t] = np.where(more, np.logaddexp(p + m10, q + m11), 0.0)
+    last = n - 1, np.arange(d)
+    z = np.logaddexp(a0[last], a1[last])
+    inside = np.arange(k)[:, None] < n
+    toxic = np.where(inside, np.exp(np.minimum(a1 + b1 - z, 0.0)), 0.0)
+    expected = np.zeros((2, 2))
+    if k > 1:
+        for i, a in enumerate((a0, a1)):
+            for j, b in enumerate((b0[1:], e[1:] + b1[1:])):
+                expected[i, j] = np.exp(np.minimum((a[:-1] + move[i, j] + b - z)[inside[1:]], 0.0)).sum()
+    return toxic, expected, z
+
+
+def fit(docs: list[tuple[list[tuple[int, list[int]]], int, int]], vocabulary: dict[str, int], rounds: int = 120) -> Chain:
     """Fits the field. docs: (informative words as (index, feature ids), number of words, toxic)."""
     shape = Chain(vocabulary, np.zeros(len(vocabulary)), np.zeros(GAPS), np.zeros(2), np.zeros((2, 2)), (1.0, 0.0))
     chains = [(known, n, y) for known, n, y in docs if n]
@@ -154,41 +161,34 @@ def fit(docs: list[tuple[list[tuple[int, list[int]]], int, int]], vocabulary: di
         layout = [shape.items([(i, 0.0) for i, _ in known], n)[1] for known, n, _ in part]
         n = np.array([len(x) for x in layout])
         k = int(n.max())
-        item, feat, gap_item, gap_class, truth = [], [], [], [], np.zeros((len(part), k))
+        item, feat, gap_item, gap_class, truth = [], [], [], [], np.zeros((k, len(part)))
         for r, ((known, words, y), at) in enumerate(zip(part, layout, strict=True)):
             ids, last = dict(known), -1
             for c, i in enumerate(at):
                 if i < 0:
                     following = at[c + 1] if c + 1 < len(at) else words
-                    gap_item.append(r * k + c)
+                    gap_item.append(c * len(part) + r)
                     gap_class.append(gap(following - last - 1))
                 else:
-                    item += [r * k + c] * len(ids[i])
+                    item += [c * len(part) + r] * len(ids[i])
                     feat += ids[i]
-                    truth[r, c] = y
+                    truth[c, r] = y
                     last = i
-        batches.append(tuple(map(np.array, (n, item, feat, gap_item, gap_class))) + (truth, k))
+        batches.append((n, *(np.array(x, np.int64) for x in (item, feat, gap_item, gap_class)), truth))
     moment = {p: (np.zeros_like(v), np.zeros_like(v)) for p, v in params.items()}
     for step in range(1, rounds + 1):
         grad = {p: -1e-2 * v for p, v in params.items()}
-        for n, item, feat, gap_item, gap_class, truth, k in batches:
-            e1 = np.zeros(len(n) * k)
-            if len(item):
-                e1 += np.bincount(item, params["w"][feat], len(e1))
-            if len(gap_item):
-                e1[gap_item] += params["g"][gap_class]
-            e = np.stack([np.zeros_like(e1), e1], axis=1).reshape(len(n), k, 2)
-            marginals, expected, _ = forward_backward(e, n, params["s"], params["m"])
-            rest = (truth - marginals[..., 1]).reshape(-1)
-            if len(item):
-                grad["w"] += np.bincount(feat, rest[item], len(grad["w"]))
-            if len(gap_item):
-                grad["g"] += np.bincount(gap_class, rest[gap_item], GAPS)
-            grad["s"] += [0.0, (truth[:, 0] - marginals[:, 0, 1]).sum()]
+        for n, item, feat, gap_item, gap_class, truth in batches:
+            e = np.bincount(item, params["w"][feat], truth.size).astype(float)
+            e[gap_item] += params["g"][gap_class]
+            toxic, expected, _ = forward_backward(e.reshape(truth.shape), n, params["s"], params["m"])
+            rest = (truth - toxic).reshape(-1)
+            grad["w"] += np.bincount(feat, rest[item], len(grad["w"]))
+            grad["g"] += np.bincount(gap_class, rest[gap_item], GAPS)
+            grad["s"][1] += (truth[0] - toxic[0]).sum()
             states = truth.astype(int)
-            inside = np.arange(1, k) < n[:, None]
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (states[:, :-1][inside], states[:, 1:][inside]), 1)
+            inside = np.arange(1, len(truth))[:, None] < n
+            seen = np.bincount((states[:-1] * 2 + states[1:])[inside], minlength=4).reshape(2, 2)
             grad["m"] += seen - expected
         for p, g in grad.items():
             m, v = moment[p]

@@ -4,7 +4,7 @@ Fixed masks select some of the tokens in a window and ignore the others, so a wi
 alike after a substitution at an ignored place. The benchmark's hashes for every mask and position
 are sorted; each batch of documents computes its own and joins them by binary search. A hit fixes an
 item and a diagonal; along it the whole overlap is compared token by token, and the best local segment
-(a match counts 1, a mismatch -3) must hold enough matches.
+(a match counts 1, a mismatch -2) must hold enough matches.
 
 The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each broadcast and
 run against all documents, so the broadcast is bounded however long the benchmark is. Documents are
@@ -30,7 +30,7 @@ BLOCK_ITEMS = 20_000
 #: Tokens that must match (all of an item's, if it has fewer), and their least share of the segment.
 MIN_MATCHES = 13
 MIN_SHARE = 0.8
-MISMATCH = -3
+MISMATCH = -2
 #: Items under this many tokens are no evidence of a leak and aren't searched.
 MIN_ITEM = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
@@ -93,14 +93,14 @@ class Block:
         return list(best.values())
 
     def segment(self, ids: np.ndarray, k: int, offset: int) -> dict | None:
-        """The best local segment of item k laid at ``offset`` of the text, if it is a leak."""
+        """The best local segment (of equal ones the longest) of item k laid at ``offset`` of the text, if it is a leak."""
         item = self.tokens[k]
         lo, hi = max(0, -offset), min(len(item), len(ids) - offset)
         same = item[lo:hi] == ids[lo + offset : hi + offset]
         total = np.concatenate(([0], np.cumsum(np.where(same, 1, MISMATCH))))
         gain = total - np.minimum.accumulate(total)
-        end = int(gain.argmax())
-        start = int(np.flatnonzero(total[: end + 1] == total[: end + 1].min())[-1])
+        end = len(gain) - 1 - int(gain[::-1].argmax())
+        start = int(total[: end + 1].argmin())
         matches, length = int(same[start:end].sum()), end - start
         if matches < min(MIN_MATCHES, len(item)) or matches < MIN_SHARE * length:
             return None

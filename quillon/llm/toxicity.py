@@ -90,7 +90,7 @@ class Chain:
         if not emissions:
             return 0.0
         (m00, m01), (m10, m11) = self.move.tolist()
-        a0, a1, path = 0.0, self.start[1] + emissions[0], 0.0
+        a0, a1, path = self.start[0], self.start[1] + emissions[0], self.start[0]
         for e in emissions[1:]:
             a0, a1 = np_add(a0 + m00, a1 + m10), np_add(a0 + m01, a1 + m11) + e
             path += m00

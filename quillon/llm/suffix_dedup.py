@@ -15,6 +15,11 @@ order with its common-prefix array; a second order of the reversed bytes before
 same to the left. A window at offset o before its anchor recurs exactly if another entry agrees with it
 in 400 - o bytes onwards and o bytes back, that is, in the classes which both arrays cut at these depths.
 
+A gram in a very common passage has a context for each document at the passage's ends. Such grams are
+split by offset: windows at different offsets never equal, so every chunk of offsets is a group of its
+own, with contexts cut to what its windows span. Chunks inside the passage then merge into one entry a
+task, and those at its ends share nearly all bytes, which front-coding leaves out.
+
 Contexts come back as the outermost recurring offsets; all windows of an anchor hold the anchor's byte,
 so what they cover is one span. Equal contexts count once in every task, however many copies there are.
 """
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, flag_members, staged, with_row_id
+from quillon.llm.common import discard, flag_members, join_groups, staged, with_row_id
 from quillon.session import table
 
 LENGTH = 400
@@ -39,6 +44,9 @@ GRAM = 64
 #: Bytes of contexts that a task gathers before it writes a run, and of runs that one task merges.
 RUN_BYTES = 32 << 20
 MERGE_BYTES = 12 << 20
+#: A gram at more anchors than this is taken apart by offsets, CHUNK at a time.
+HOT_GRAM = 2048
+CHUNK = 16
 #: Windows of a document that are looked at together (positions take 24 bits of an anchor's rank).
 SEGMENT = 1 << 22
 #: Entries whose offsets are resolved together.
@@ -145,7 +153,7 @@ def front_decode(block: bytes) -> Iterator[tuple[bytes, int, bytes, int, bool]]:
         at += _HEAD.size
         on, back = on[:p] + block[at : at + n], back[:q] + block[at + n : at + n + m]
         at += n + m
-        shared = 8 + p if h == last_h else 0
+        shared = 0 if last_h is None else 8 + p if h == last_h else (64 - (h ^ last_h).bit_length()) // 8
         last_h = h
         yield struct.pack(">Q", h) + on, shared, back, number, bool(many)
 
@@ -228,6 +236,24 @@ _RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("block", pa.bina
 _RUNS_SQL = "part int, run string, block binary, number int, f long, r long, a long"
 
 
+def group_of(h: int, chunk: int) -> int:
+    """A group's 64-bit number, spread evenly: anchors' hashes are the least of many, so they aren't."""
+    h &= (1 << 64) - 1
+    return ((h ^ chunk) * 0xD6E8FEB86659FD93 ^ h >> 31) & (1 << 64) - 1
+
+
+def contexts(data: bytes, x: dict, length: int) -> Iterator[tuple[tuple[int, bytes, bytes], int]]:
+    """((group, bytes on, reversed bytes back), anchor) of an anchor's windows: one context, or one for
+    each chunk of offsets if its gram is hot."""
+    a, least, most = x["a"], x["least"], x["most"]
+    if not x["hot"]:
+        yield (group_of(x["h"], 0), data[a : a - least + length], data[a - most : a][::-1]), a
+        return
+    for k in range(least // CHUNK, most // CHUNK + 1):
+        low, high = max(least, k * CHUNK), min(most, k * CHUNK + CHUNK - 1)
+        yield (group_of(x["h"], k + 1), data[a : a - low + length], data[a - high : a][::-1]), a
+
+
 def _sorted_runs(length: int, parts: int):
     """Rows of two kinds: a run's blocks (part, run, block), and members (run, number, f, r, a)."""
 
@@ -260,9 +286,7 @@ def _sorted_runs(length: int, parts: int):
         for batch in batches:
             for f, r, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
                 data, f, r = text.as_py(), f.as_py(), r.as_py()
-                for x in found.as_py():
-                    a = x["a"]
-                    key = (x["h"] & (1 << 64) - 1, data[a : a - x["least"] + length], data[a - x["most"] : a][::-1])
+                for key, a in (c for x in found.as_py() for c in contexts(data, x, length)):
                     if key in entries:
                         entries[key] += (f, r, a)
                         held += 60
@@ -323,12 +347,21 @@ def repeated_spans(docs: DataFrame, text: Column, length: int = LENGTH) -> DataF
     rows = docs.select(F.col("__rid.f").alias("f"), F.col("__rid.r").alias("r"), F.coalesce(text.cast("binary"), F.lit("").cast("binary")).alias("text"))
     found = staged(rows.where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length), "f long, r long, a long, least int, most int, h long"), "anchors")
     again = flag_members(found, found.select("h"), found.count(), 2).where("again")
-    again = staged(again.groupBy("f", "r").agg(F.collect_list(F.struct("a", "least", "most", "h")).alias("found")), "repeated-anchors")
-    discard(found)
-    contexts = again.agg(F.sum(F.size("found"))).first()[0] or 0
-    parts = max(12, -(-contexts * 2 * length // MERGE_BYTES))
-    runs = staged(rows.join(again, ["f", "r"]).select("f", "r", "text", "found").mapInArrow(_sorted_runs(length, parts), _RUNS_SQL), "suffix-runs")
+    again = staged(again, "repeated-grams")
+    hot = staged(again.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GRAM).select("h", F.lit(True).alias("hot")), "hot-grams")
+    contexts = again.count()
+    if hot.isEmpty():
+        marked = again.withColumn("hot", F.lit(False))
+    elif hot.count() <= 1 << 20:
+        marked = again.join(F.broadcast(hot), "h", "left")
+    else:
+        marked = join_groups(again, hot, ["h"], "left")
+    marked = staged(marked.groupBy("f", "r").agg(F.collect_list(F.struct("a", "least", "most", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found")), "repeated-anchors")
     discard(again)
+    discard(found)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts * 2 * length // MERGE_BYTES))
+    runs = staged(rows.join(marked, ["f", "r"]).select("f", "r", "text", "found").mapInArrow(_sorted_runs(length, parts), _RUNS_SQL), "suffix-runs")
+    discard(marked)
     blocks = runs.where("block is not null").select("part", "run", "block").repartition(parts, "part").sortWithinPartitions("part", "run")
     offsets = staged(blocks.mapInArrow(_merge(length), "run string, number int, least int, most int"), "offsets")
     members = runs.where("block is null").select("run", "number", "f", "r", "a")

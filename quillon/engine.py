@@ -10,13 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.errors import EngineError, of_spark
-from quillon.operators import forjson
-from quillon.plans import dialect
+from quillon.functions import semantics
+from quillon.operators import dml, forjson, relational
+from quillon.plans import dialect, syntax, translate
 from quillon.session import TABLES, table
 from quillon.sources import tables as sources
 
@@ -88,6 +90,17 @@ class Statement:
         return self.database.exec(self.text, {k: self.bound.get(k) for k in wanted})
 
 
+def _qualified(e, table: str, columns: list[str]):
+    """An expression whose bare columns name the target table."""
+    if isinstance(e, (list, tuple)):
+        return type(e)(_qualified(x, table, columns) for x in e)
+    if not isinstance(e, syntax.Expr):
+        return e
+    if e.op == "column" and len(e.args) == 1 and e.args[0].lower() in {c.lower() for c in columns}:
+        return syntax.Expr("column", [table, e.args[0]])
+    return syntax.Expr(e.op, [_qualified(a, table, columns) for a in e.args], e.text)
+
+
 class Transaction:
     """Changes that are published together at commit; leaving the block by an error forgets them."""
 
@@ -127,6 +140,10 @@ class Database:
         self.spark = spark
         self.versions: dict[str, DataFrame] = {}
         self.transaction: Transaction | None = None
+        self.keys: dict[str, list[str]] = {}
+        self.user_version = 0
+        self._views: dict[str, tuple[DataFrame, str]] = {}
+        self._registered = False
         self._changes = self._total = 0
         if folder:
             self.attach(folder)
@@ -162,7 +179,7 @@ class Database:
             raise EngineError(f"no such table: {name}", "no such table")
 
     def exec(self, text: str, parameters: Sequence | dict | None = None) -> Result:
-        """Runs a batch of queries in the dialect and returns the last one's result."""
+        """Runs a batch of statements in the dialect and returns the last one's result."""
         named = parameters if isinstance(parameters, dict) else {f"p{i + 1}": v for i, v in enumerate(parameters or ())}
         out = None
         for found in dialect.statements(text):
@@ -173,18 +190,243 @@ class Database:
 
     def _one(self, found: list[dialect.Token], named: dict) -> Result:
         found, json = dialect.split_for_json(found)
-        for name in {t.text.strip('"`[]').lower() for t in found if t.kind in ("word", "name")} & self._current().keys():
-            self._current()[name].createOrReplaceTempView(name)
-        try:
-            df = self.spark.sql(dialect.to_spark(found), args=named or None)
-        except PySparkException as e:
-            raise of_spark(e) from e
+        tree = syntax.parse(found)
+        if isinstance(tree, syntax.Change):
+            return self._change(tree, named)
+        df = self.select(tree, named)
         if json is None:
             return Result(df)
         if json["mode"] == "auto":
-            raise EngineError("FOR JSON AUTO: use quillon.operators.forjson.for_json_auto, which names the nesting", "misuse")
+            return Result(self._json_auto(tree, df, json))
         return Result(forjson.for_json_path(df, df.columns, root=json["root"], nulls=json["nulls"], wrapper=json["wrapper"]))
 
+    def _json_auto(self, tree: syntax.Select, df: DataFrame, json: dict) -> DataFrame:
+        """FOR JSON AUTO of one SELECT over one or two sources: columns of the second nest in the first.
+        Rows follow ORDER BY, else all columns from left to right."""
+        core = tree.cores[0]
+        source = core.source
+        shown = [(e, n) for (e, _), n in zip(core.items, df.columns, strict=False)]
+        if source is None or any(e.op != "column" for e, _ in shown):
+            raise EngineError("FOR JSON AUTO needs plain columns of FROM sources", "misuse")
+        order = [e.args[-1] for e, _, _ in tree.order if e.op == "column" and e.args[-1] in df.columns] or df.columns
+        order = [*order, *(c for c in df.columns if c not in order)]
+        if source.kind != "join":
+            return forjson.for_json_path(df, order, df.columns, json["root"], json["nulls"], json["wrapper"])
+        if source.left.kind == "join":
+            raise EngineError("FOR JSON AUTO over more than two sources: use quillon.operators.forjson", "misuse")
+        known = {c.lower() for c in self.get(source.left.name).columns} if source.left.kind == "table" else set()
+        first = (source.left.alias or source.left.name).lower()
+        outer = [n for e, n in shown if (e.args[0].lower() == first if len(e.args) == 2 else e.args[0].lower() in known)]
+        inner = [n for _, n in shown if n not in outer]
+        return forjson.for_json_auto(df, outer, inner, source.right.alias or source.right.name, order, json["root"], json["nulls"], json["wrapper"])
+
+    def _translator(self, named: dict) -> translate.Translator:
+        if not self._registered:
+            translate.register(self.spark)
+            self._registered = True
+        known = {}
+        for name, df in self._current().items():
+            known[name] = (self._view(name, df), {f.name: translate.kind_of(f.dataType) for f in df.schema.fields})
+        out = translate.Translator(known)
+        kinds = {bool: "integer", int: "integer", float: "real", str: "text", bytes: "blob"}
+        translate.Translator.parameters = {k: kinds.get(type(v), "null") for k, v in named.items()}
+        return out
+
+    def _view(self, name: str, df: DataFrame) -> str:
+        """The temp view of a table's version."""
+        held = self._views.get(name)
+        if held is None or held[0] is not df:
+            view = f"quillon_{id(self):x}_{len(self._views)}_{name}" if held is None else held[1]
+            df.createOrReplaceTempView(view)
+            self._views[name] = held = (df, view)
+        return held[1]
+
+    def select(self, tree: syntax.Select, named: dict | None = None) -> DataFrame:
+        """The DataFrame of a parsed query. A recursive CTE that drops repeated rows (UNION) is followed
+        to its fixpoint here; all else is one translated query."""
+        named = named or {}
+        if tree.recursive and any("UNION" in q.operations and name.lower() in translate.shape_sources(q) for name, _, q in tree.ctes):
+            return self._fixpoint(tree, named)
+        sql, _ = self._translator(named).query(tree)
+        try:
+            return self.spark.sql(sql, args={k: int(v) if isinstance(v, bool) else v for k, v in named.items()} or None)
+        except (PySparkException, Py4JJavaError) as e:
+            raise of_spark(e) from e
+
+    def _fixpoint(self, tree: syntax.Select, named: dict) -> DataFrame:
+        scratch = Database(self.spark)
+        scratch.attach_frames(self._current())
+        for name, columns, q in tree.ctes:
+            if name.lower() in translate.shape_sources(q):
+                first, again = (syntax.Select([c], []) for c in q.cores)
+                seed = scratch.select(first, named)
+                seed = seed.toDF(*(columns or seed.columns))
+
+                def step(new: DataFrame, name=name, again=again) -> DataFrame:
+                    scratch.put(name, new)
+                    return scratch.select(again, named)
+
+                done = relational.recursive(seed, step, distinct=q.operations == ["UNION"])
+            else:
+                done = scratch.select(q, named)
+                done = done.toDF(*(columns or done.columns))
+            scratch.put(name, done)
+        return scratch.select(syntax.Select(tree.cores, tree.operations, [], False, tree.order, tree.limit, tree.offset), named)
+
+    def _change(self, c: syntax.Change, named: dict) -> Result:
+        """Applies a change or definition; its result has the changed rows for RETURNING, else their number."""
+        p, none = c.parts, Result(self.spark.createDataFrame([], "changes long"))
+        if c.kind in ("begin", "commit", "end", "rollback", "savepoint", "release", "rollback to"):
+            self._control(c)
+            return none
+        if c.kind == "pragma":
+            return Result(self.pragma(c.name, *p["args"]))
+        if c.kind.startswith(("create", "drop", "rename", "add")):
+            self._define(c, named)
+            return none
+        before = self.get(c.name)
+        columns = before.columns
+        if c.kind == "insert":
+            after = self._insert(c, before, named)
+        elif c.kind == "delete":
+            after = before.limit(0) if p["where"] is None else self._kept(c.name, p["where"], named)
+        else:
+            after = self._updated(c, before, named)
+        after = after.select(*columns)
+        self.put(c.name, after)
+        if "returning" not in p:
+            return none
+        if c.kind == "delete":
+            changed = before.exceptAll(after)
+        else:
+            changed = after.exceptAll(before)
+        scratch = Database(self.spark)
+        scratch.put(c.name, changed)
+        return Result(scratch.select(syntax.Select([syntax.Core(items=p["returning"], source=syntax.Source("table", c.name))], []), named))
+
+    def _kept(self, name: str, where: syntax.Expr, named: dict) -> DataFrame:
+        stays = syntax.Expr("not", [syntax.Expr("call", ["coalesce", [where, syntax.Expr("integer", [0])]])])
+        return self.select(syntax.Select([syntax.Core(items=[(syntax.Expr("star"), None)], source=syntax.Source("table", name), where=stays)], []), named)
+
+    def _insert(self, c: syntax.Change, before: DataFrame, named: dict) -> DataFrame:
+        p = c.parts
+        if p["query"] is None:
+            rows = self.spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in before.schema.fields))
+        else:
+            rows = self.select(p["query"], named)
+            names = p["columns"] or before.columns
+            if len(names) != len(rows.columns):
+                raise EngineError(f"table {c.name} has {len(before.columns)} columns but {len(rows.columns)} values were supplied", "error")
+            rows = rows.toDF(*names)
+        keys = self.keys.get(c.name.lower(), [])
+        if p["upsert"] is not None:
+            target, assignments, where = p["upsert"]
+            target = target or keys
+            rows = dml.conform(rows, before)
+            if assignments is None:
+                return dml.insert(before, rows, target, "ignore")
+            scratch = Database(self.spark)
+            scratch.attach_frames({c.name: before, "excluded": rows})
+            hit = " AND ".join(f'{c.name}."{k}" = excluded."{k}"' for k in target)
+            items = [(syntax.Expr("column", [c.name, n]), n) for n in before.columns]
+            chosen = dict(assignments)
+            source = syntax.Source("join", left=syntax.Source("table", c.name), right=syntax.Source("table", "excluded"), join="INNER", on=syntax.parse(f"SELECT {hit}").cores[0].items[0][0])
+            items = [(chosen.get(n, e), n) for e, n in items]
+            qualified = [(_qualified(e, c.name, before.columns), n) for e, n in items]
+            condition = None if where is None else _qualified(where, c.name, before.columns)
+            updated = dml.conform(scratch.select(syntax.Select([syntax.Core(items=qualified, source=source, where=condition)], []), named), before)
+            fresh = rows.join(before, target, "left_anti").select(*before.columns)
+            return before.join(updated, target, "left_anti").select(*before.columns).unionByName(updated).unionByName(fresh)
+        return dml.insert(before, rows, keys or None, p["conflict"] if p["conflict"] in ("ignore", "replace") else "abort")
+
+    def _updated(self, c: syntax.Change, before: DataFrame, named: dict) -> DataFrame:
+        p, chosen = c.parts, {n.lower(): e for n, e in c.parts["set"]}
+        unknown = [n for n in chosen if n not in {x.lower() for x in before.columns}]
+        if unknown:
+            raise EngineError(f"no such column: {unknown[0]}", "no such column")
+        if p["from"] is None:
+            hit = p["where"] or syntax.Expr("integer", [1])
+            items = [(syntax.Expr("case", [None, [(hit, chosen[n.lower()])], syntax.Expr("column", [n])]) if n.lower() in chosen else syntax.Expr("column", [n]), n) for n in before.columns]
+            return dml.conform(self.select(syntax.Select([syntax.Core(items=items, source=syntax.Source("table", c.name))], []), named), before)
+        keyed = before.withColumn("q_row", F.monotonically_increasing_id())
+        scratch = Database(self.spark)
+        scratch.attach_frames(self._current() | {c.name.lower(): keyed.checkpoint() if self.spark.conf.get("spark.checkpoint.dir", None) else keyed})
+        items = [(chosen.get(n.lower(), syntax.Expr("column", [c.name, n])), n) for n in before.columns] + [(syntax.Expr("column", [c.name, "q_row"]), "q_row")]
+        source = syntax.Source("join", left=syntax.Source("table", c.name), right=p["from"], join="CROSS")
+        changed = scratch.select(syntax.Select([syntax.Core(items=items, source=source, where=p["where"])], []), named)
+        changed = dml.latest(changed, ["q_row"], [F.col(n) for n in before.columns])
+        rest = scratch.get(c.name).join(changed, "q_row", "left_anti").select(*before.columns)
+        return rest.unionByName(dml.conform(changed, before))
+
+    def _define(self, c: syntax.Change, named: dict) -> None:
+        p, name = c.parts, c.name
+        if c.kind in ("create table", "create view"):
+            if name.lower() in self._current():
+                if p["maybe"]:
+                    return
+                raise EngineError(f"table {name} already exists", "error")
+            if "query" in p:
+                df = self.select(p["query"], named)
+                self.put(name, df if "columns" not in p else df.toDF(*(n for n, _, _ in p["columns"])))
+                return
+            kinds = {"INTEGER": "bigint", "REAL": "double", "NUMERIC": "double", "TEXT": "string", "BLOB": "binary"}
+            self.put(name, self.spark.createDataFrame([], ", ".join(f"`{n}` {kinds[semantics.affinity(k)]}" for n, k, _ in p["columns"])))
+            self.keys[name.lower()] = [n for n, _, key in p["columns"] if key]
+        elif c.kind in ("drop table", "drop view"):
+            self.drop(name, p["maybe"])
+            self.keys.pop(name.lower(), None)
+        elif c.kind == "rename table":
+            self.put(p["new"], self.get(name))
+            self.drop(name)
+        elif c.kind == "rename column":
+            self.change(name, lambda t: dml.rename_column(t, p["old"], p["new"]))
+        elif c.kind == "drop column":
+            self.change(name, lambda t: dml.drop_column(t, p["old"]))
+        elif c.kind == "add column":
+            kinds = {"INTEGER": "bigint", "REAL": "double", "NUMERIC": "double", "TEXT": "string", "BLOB": "binary"}
+            default = None if p["default"] is None else F.expr(translate.Translator({}).expr(p["default"], translate.Scope()).value())
+            self.change(name, lambda t: dml.add_column(t, p["new"], kinds[semantics.affinity(p["type"])], default))
+
+    def _control(self, c: syntax.Change) -> None:
+        if c.kind == "begin":
+            self.begin()
+            return
+        if c.kind == "savepoint" and self.transaction is None:
+            self.begin()
+        if self.transaction is None:
+            raise EngineError("cannot commit - no transaction is active" if c.kind != "rollback" else "cannot rollback - no transaction is active", "misuse")
+        act = {"commit": self.transaction.commit, "end": self.transaction.commit, "rollback": self.transaction.rollback}
+        if c.kind in act:
+            act[c.kind]()
+        else:
+            {"savepoint": self.transaction.savepoint, "release": self.transaction.release, "rollback to": self.transaction.rollback_to}[c.kind](c.name)
+
+    def pragma(self, name: str, *args: str) -> DataFrame:
+        """The informative pragmas."""
+        make = self.spark.createDataFrame
+        if name in ("table_info", "table_xinfo"):
+            return self.table(args[0])
+        if name == "table_list":
+            return make([("main", n, "table", len(df.columns)) for n, df in sorted(self._current().items())], "schema string, name string, type string, ncol int")
+        if name == "database_list":
+            return make([(0, "main", "")], "seq int, name string, file string")
+        if name == "index_list":
+            return make([(0, f"sqlite_autoindex_{args[0]}_1", 1, "pk", 0)] if self.keys.get(args[0].lower()) else [], "seq int, name string, unique int, origin string, partial int")
+        if name == "function_list":
+            return make(sorted({(n,) for n, _ in translate._SIMPLE} | {(n,) for n in translate._MATH | translate._AGGREGATES | translate._RANKING}), "name string")
+        if name == "integrity_check":
+            return make([("ok",)], "integrity_check string")
+        if name == "user_version":
+            if args:
+                self.user_version = int(args[0])
+            return make([(self.user_version,)], "user_version int")
+        raise EngineError(f"unknown pragma: {name}", "misuse")
+
+    def attach_frames(self, frames: dict[str, DataFrame]) -> None:
+        """Makes DataFrames known as tables."""
+        for name, df in frames.items():
+            self.put(name, df)
+
     def prepare(self, text: str) -> Statement:
         return Statement(self, text)
 

@@ -6,6 +6,7 @@ must be UTC. Modifiers are constants, compiled into the plan.
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -271,3 +272,94 @@ def current_time() -> Column:
 
 def current_timestamp() -> Column:
     return datetime(now(), kind="ms")
+
+
+# The same rules on single Python values, for queries whose modifiers are data.
+def python_ms(value: str | None, modifiers: list[str | None]) -> int | None:
+    """Milliseconds of a time value given as text (a number as text is a Julian day unless a modifier
+    says otherwise) after its modifiers; None for anything invalid."""
+    import datetime as dt
+
+    if value is None or any(m is None for m in modifiers):
+        return None
+    text, mods = value.strip(), [m.strip().lower() for m in modifiers]
+    first = mods[0] if mods else ""
+    if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text):
+        number = float(text)
+        as_day = first not in ("unixepoch",) and not (first == "auto" and not 0 <= number < 5373484.5)
+        if as_day and not 0 <= number < 5373484.5:
+            return None
+        ms = math.floor((number - JULIAN_EPOCH) * DAY + 0.5) if as_day else math.floor(number * 1000 + 0.5)
+        mods = mods[1:] if first in ("unixepoch", "auto", "julianday") else mods
+    elif text.lower() == "now":
+        ms = int(dt.datetime.now(dt.UTC).timestamp() * 1000)
+    else:
+        m = re.fullmatch(r"(?:(\d{4})-(\d\d)-(\d\d))?(?:(?<=\d)[ T]+)?(?:(\d\d):(\d\d)(?::(\d\d)(\.\d+)?)?\s*(Z|z|[+-]\d\d:\d\d)?)?", text)
+        if not text or m is None or (m[1] is None and m[4] is None):
+            return None
+        year, month, day = (int(m[1]), int(m[2]), int(m[3])) if m[1] else (2000, 1, 1)
+        hour, minute, second = int(m[4] or 0), int(m[5] or 0), int(m[6] or 0)
+        if not (1 <= month <= 12 and 1 <= day <= 31 and hour <= 24 and minute <= 59 and second <= 59):
+            return None
+        zone = m[8] or "Z"
+        offset = 0 if zone in "Zz" else (1 if zone[0] == "+" else -1) * (int(zone[1:3]) * 60 + int(zone[4:6])) * 60_000
+        ms = _python_days(year, month, day) * DAY + hour * 3_600_000 + minute * 60_000 + second * 1000 + math.floor(float("0" + (m[7] or ".0")) * 1000 + 0.5) - offset
+    for m in mods:
+        ms = _python_modify(ms, m)
+        if ms is None:
+            return None
+    return ms
+
+
+def _python_days(year: int, month: int, day: int) -> int:
+    import datetime as dt
+
+    return dt.date(year, month, 1).toordinal() - 719163 + day - 1
+
+
+def _python_modify(ms: int, m: str) -> int | None:
+    import datetime as dt
+
+    at = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)
+
+    def months(n: int) -> int:
+        k = at.year * 12 + at.month - 1 + n
+        return _python_days(k // 12, k % 12 + 1, at.day) * DAY + ms % DAY
+
+    if m in ("subsec", "subsecond", "utc", "localtime"):
+        return ms
+    if m.startswith("start of "):
+        parts = {"day": (at.year, at.month, at.day), "month": (at.year, at.month, 1), "year": (at.year, 1, 1)}.get(m[9:])
+        return None if parts is None else _python_days(*parts) * DAY
+    if found := re.fullmatch(r"weekday\s+([0-6])(?:\.0*)?", m):
+        return ms + (int(found[1]) - at.isoweekday() % 7) % 7 * DAY
+    if found := re.fullmatch(r"([+-]?(?:\d+(?:\.\d*)?|\.\d+))\s+(second|minute|hour|day|month|year)s?", m):
+        amount, unit = float(found[1]), found[2]
+        if unit in _UNITS:
+            return ms + round(amount * _UNITS[unit])
+        whole = int(amount)
+        return months(whole * (12 if unit == "year" else 1)) + round((amount - whole) * (30 if unit == "month" else 365) * DAY)
+    if found := re.fullmatch(r"([+-])(?:(\d{4})-(\d\d)-(\d\d))?\s*(?:(\d\d):(\d\d)(?::(\d\d)(\.\d+)?)?)?", m):
+        sign = 1 if found[1] == "+" else -1
+        span = int(found[4] or 0) * DAY + int(found[5] or 0) * 3_600_000 + int(found[6] or 0) * 60_000 + int(found[7] or 0) * 1000 + round(float(found[8] or 0) * 1000)
+        return months(sign * (int(found[2] or 0) * 12 + int(found[3] or 0))) + sign * span
+    return None
+
+
+def python_format(form: str, ms: int) -> str | None:
+    """strftime of one value."""
+    import datetime as dt
+
+    at = dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=ms)
+    yday, hour = at.timetuple().tm_yday, at.hour % 12 or 12
+    parts = {
+        "d": f"{at.day:02d}", "e": f"{at.day:2d}", "f": f"{at.second:02d}.{at.microsecond // 1000:03d}", "F": at.strftime("%Y-%m-%d"), "H": f"{at.hour:02d}", "k": f"{at.hour:2d}", "I": f"{hour:02d}", "l": f"{hour:2d}",
+        "j": f"{yday:03d}", "J": repr(round((ms + 210866760000000) / DAY, 9)), "m": f"{at.month:02d}", "M": f"{at.minute:02d}", "p": "PM" if at.hour >= 12 else "AM", "P": "pm" if at.hour >= 12 else "am", "R": at.strftime("%H:%M"),
+        "s": str(ms // 1000), "S": f"{at.second:02d}", "T": at.strftime("%H:%M:%S"), "u": str(at.isoweekday()), "w": str(at.isoweekday() % 7), "W": f"{(yday + 6 - at.weekday()) // 7:02d}", "Y": f"{at.year:04d}", "%": "%",
+    }
+    out = []
+    for plain, code in re.findall(r"([^%]+)|%(.?)", form, re.DOTALL):
+        if not plain and code not in parts:
+            return None
+        out.append(plain or parts[code])
+    return "".join(out)

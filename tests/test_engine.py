@@ -24,7 +24,7 @@ def test_exec_and_parameters(db):
     assert len(db.exec("SELECT n_name FROM nation LIMIT -1").rows()) == 25
     assert db.exec("SELECT count(*) FROM nation WHERE n_name GLOB 'A*'").scalar() == db.exec("SELECT count(*) FROM nation WHERE n_name LIKE 'a%'").scalar()
     assert db.exec("SELECT count(*) FROM nation WHERE n_nationkey IN ()").scalar() == 0
-    assert db.exec("SELECT NULL IS 1, 1 IS NOT NULL, 2 NOTNULL").first()[0] is False
+    assert db.exec("SELECT NULL IS 1, 1 IS NOT NULL, 2 NOTNULL").first()[0] == 0
 
 
 def test_prepare(db):

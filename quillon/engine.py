@@ -144,7 +144,7 @@ class Database:
         self.user_version = 0
         self._views: dict[str, tuple[DataFrame, str]] = {}
         self._registered = False
-        self._changes = self._total = 0
+        self._last: tuple[DataFrame, DataFrame] | None = None
         if folder:
             self.attach(folder)
 
@@ -161,11 +161,9 @@ class Database:
     def _current(self) -> dict[str, DataFrame]:
         return self.transaction.versions if self.transaction else self.versions
 
-    def put(self, name: str, df: DataFrame, changed: int = 0) -> None:
+    def put(self, name: str, df: DataFrame) -> None:
         """Puts a table's new version in place."""
         self._current()[name.lower()] = df
-        self._changes = changed
-        self._total += changed
 
     def get(self, name: str) -> DataFrame:
         """A table's current version."""
@@ -281,6 +279,12 @@ class Database:
             return none
         if c.kind == "pragma":
             return Result(self.pragma(c.name, *p["args"]))
+        if c.kind == "explain":
+            plan = self.select(p["query"], named)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            return Result(self.spark.createDataFrame([(i, line) for i, line in enumerate(plan.split("\n"))], "id int, detail string"))
+        if c.kind in ("vacuum", "attach", "detach", "analyze", "reindex"):
+            self._maintain(c)
+            return none
         if c.kind.startswith(("create", "drop", "rename", "add")):
             self._define(c, named)
             return none
@@ -294,6 +298,7 @@ class Database:
             after = self._updated(c, before, named)
         after = after.select(*columns)
         self.put(c.name, after)
+        self._last = (before, after)
         if "returning" not in p:
             return none
         if c.kind == "delete":
@@ -358,6 +363,24 @@ class Database:
         rest = scratch.get(c.name).join(changed, "q_row", "left_anti").select(*before.columns)
         return rest.unionByName(dml.conform(changed, before))
 
+    def _maintain(self, c: syntax.Change) -> None:
+        """VACUUM INTO copies, ATTACH makes a folder's tables known as schema.table, ANALYZE fills the
+        statistics table; parquet needs no REINDEX or VACUUM."""
+        if c.kind == "vacuum" and c.name:
+            self.vacuum_into(c.name)
+        elif c.kind == "attach":
+            self.attach(c.parts["folder"], schema=c.name)
+        elif c.kind == "detach":
+            self.detach(c.name)
+        elif c.kind == "analyze":
+            stats = None
+            for name in [c.name] if c.name else [n for n in self.tables() if n != "sqlite_stat1"]:
+                keys = self.keys.get(name.lower()) or self.get(name).columns[:1]
+                row = dml.index_statistics(self.get(name), name, f"{name}_key", keys)
+                stats = row if stats is None else stats.unionByName(row)
+            if stats is not None:
+                self.put("sqlite_stat1", stats)
+
     def _define(self, c: syntax.Change, named: dict) -> None:
         p, name = c.parts, c.name
         if c.kind in ("create table", "create view"):
@@ -444,13 +467,14 @@ class Database:
     def in_transaction(self) -> bool:
         return self.transaction is not None
 
-    @property
-    def total_changes(self) -> int:
-        return self._total
-
     @property
     def changes(self) -> int:
-        return self._changes
+        """Rows that the last INSERT, UPDATE or DELETE changed, counted when asked."""
+        if self._last is None:
+            return 0
+        before, after = self._last
+        added, gone = after.exceptAll(before).count(), before.exceptAll(after).count()
+        return max(added, gone)
 
     def tables(self) -> list[str]:
         return sorted(self._current())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -59,17 +60,23 @@ def compound(first: DataFrame, *rest: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Sets the context's checkpoint folder where none is set: to spark.checkpoint.dir, or in local mode
+    to a temporary folder."""
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="quillon-recursive-")
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int = 1000) -> DataFrame:
     """WITH RECURSIVE: ``step`` maps the rows of one round to the next's; with ``distinct`` (UNION) rows
     that were met before don't recur, so cycles end. Each round is checkpointed to the shared folder
     (spark.checkpoint.dir), and only its new rows go into the next."""
-    spark = seed.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-recursive-"))
+    _checkpoint_folder(seed.sparkSession)
     fresh = (seed.distinct() if distinct else seed).checkpoint()
     found = fresh
     for _ in range(max_rounds):

@@ -149,6 +149,23 @@ def test_returning_and_transactions(spark, sf):
     assert db.row_count("region") == 3
 
 
+def test_maintenance(spark, sf, tmp_path):
+    db = Database(spark)
+    db.exec(f"ATTACH DATABASE '{sf}' AS data")
+    assert db.exec("SELECT count(*) FROM data.nation n JOIN data.region r ON n.n_regionkey = r.r_regionkey").scalar() == 25
+    db.exec("CREATE TABLE t AS SELECT n_nationkey AS k FROM data.nation")
+    db.exec("DELETE FROM t WHERE k < 4")
+    assert db.changes == 4
+    db.exec("UPDATE t SET k = 100 WHERE k = 4; ANALYZE t; REINDEX t")
+    assert db.changes == 1 and db.exec("SELECT stat FROM sqlite_stat1").scalar() == "21 1"
+    assert any("Scan" in r.detail or "Relation" in r.detail for r in db.exec("EXPLAIN QUERY PLAN SELECT * FROM t WHERE k > 3").rows())
+    db.exec("DETACH data")
+    db.exec(f"VACUUM INTO '{tmp_path}/copy'")
+    assert spark.read.parquet(f"{tmp_path}/copy/t.parquet").count() == 21
+    with pytest.raises(EngineError):
+        db.exec("SELECT * FROM data.nation")
+
+
 @pytest.mark.parametrize("sql", ["SELECT", "SELECT 1 +", "SELECT * FROM", "INSERT INTO t", "SELECT (1", "SELECT CASE 1", "SELECT 1 1", "UPDATE t", "SELECT a FROM b WHERE", "WITH x SELECT 1"])
 def test_syntax_errors(sql):
     with pytest.raises(EngineError) as e:

@@ -32,10 +32,22 @@ def grouped(df: DataFrame, groups: list[str], measures: dict[str, Column]) -> Da
 
 
 def share(value: Column, *scope: str) -> Column:
-    """value / Sum(value) within a scope (the whole table without one)."""
+    """value / Sum(value) within a scope of at least one column (see with_share for the whole table)."""
+    if not scope:
+        raise ValueError("a share of the whole table needs with_share")
     return value / F.sum(value).over(Window.partitionBy(*scope))
 
 
+def with_share(df: DataFrame, value: Column, name: str, *scope: str) -> DataFrame:
+    """Adds value / Sum(value) within a scope. Sums are aggregated and joined back (for the whole table
+    a single row), so no scope gathers its rows in one task."""
+    if not scope:
+        return df.join(F.broadcast(df.agg(F.sum(value).alias("__sum")))).withColumn(name, value / F.col("__sum")).drop("__sum")
+    sums = df.groupBy(*scope).agg(F.sum(value).alias("__sum"))
+    same = [df[c].eqNullSafe(sums[c]) for c in scope]
+    return df.join(sums, same).withColumn(name, value / F.col("__sum")).select(*(df[c] for c in df.columns), name)
+
+
 def scoped(aggregate: str, value: Column, *scope: str) -> Column:
     """A scope aggregate of a report expression."""
     return _AGGREGATES[aggregate.lower()](value).over(Window.partitionBy(*scope))

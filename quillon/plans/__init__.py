@@ -1,6 +1,5 @@
-"""Queries over the driver's tables, one or more for every operator."""
+"""Queries over the driver's tables, one or more for every operator.
 
-from quillon.plans import change_queries, function_queries, json_queries, relational_queries, source_queries, window_queries  # noqa: F401
-from quillon.plans.registry import ORACLES, QUERIES
-
-__all__ = ["ORACLES", "QUERIES"]
+``quillon.plans.catalog`` imports them all; the
+syntax modules here do without them.
+"""

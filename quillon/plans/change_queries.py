@@ -120,7 +120,8 @@ def report_subtotals(t):
 def report_share(t):
     counts = t("orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
     n = F.col("n")
-    return counts.select("o_orderstatus", "o_orderpriority", "n", F.round(R.share(n, "o_orderstatus"), 6).alias("of_status"), F.round(R.share(n), 6).alias("of_all"))
+    shares = R.with_share(R.with_share(counts, n, "of_status", "o_orderstatus"), n, "of_all")
+    return shares.select("o_orderstatus", "o_orderpriority", "n", F.round("of_status", 6).alias("of_status"), F.round("of_all", 6).alias("of_all"))
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY'")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quillon import plans
+from quillon.plans import catalog as plans
 from quillon.session import TABLES
 
 

@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+#: Folders of staged tables that this process has written, for ``sweep``.
+_STAGED: list[str] = []
 #: Removes an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -41,6 +43,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     shuffle files go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -50,14 +53,22 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, parent)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes every staged table of this process: for when the results that read them are written."""
+    while _STAGED:
+        _delete(spark, _STAGED.pop())
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -43,9 +43,9 @@ def with_share(df: DataFrame, value: Column, name: str, *scope: str) -> DataFram
     a single row), so no scope gathers its rows in one task."""
     if not scope:
         return df.join(F.broadcast(df.agg(F.sum(value).alias("__sum")))).withColumn(name, value / F.col("__sum")).drop("__sum")
-    sums = df.groupBy(*scope).agg(F.sum(value).alias("__sum"))
-    same = [df[c].eqNullSafe(sums[c]) for c in scope]
-    return df.join(sums, same).withColumn(name, value / F.col("__sum")).select(*(df[c] for c in df.columns), name)
+    sums = df.groupBy(*(F.col(c).alias(f"__{i}") for i, c in enumerate(scope))).agg(F.sum(value).alias("__sum"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(scope)]
+    return df.join(sums, same).withColumn(name, value / F.col("__sum")).select(*df.columns, name)
 
 
 def scoped(aggregate: str, value: Column, *scope: str) -> Column:

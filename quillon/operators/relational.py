@@ -66,7 +66,7 @@ def _checkpoint_folder(spark: SparkSession) -> None:
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master.split("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="quillon-recursive-")
         spark.sparkContext.setCheckpointDir(folder)

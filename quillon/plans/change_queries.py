@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import dml as M
 from quillon.operators import report as R
+from quillon.operators.report_expr import with_expression
 from quillon.plans.registry import query
 
 _BASE = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 500"
@@ -128,3 +129,10 @@ def report_share(t):
 def report_parameters(t):
     out = t("customer").select("c_custkey", "c_mktsegment")
     return R.optional_filter(R.optional_filter(out, "c_mktsegment", "MACHINERY"), "c_custkey", None)
+
+
+@query("""SELECT n_name, r_name, c, round(c::DOUBLE / sum(c) OVER (PARTITION BY r_name), 6) AS share, CASE WHEN c > avg(c) OVER () THEN upper(substr(n_name, 1, 3)) ELSE 'low' END AS mark FROM (SELECT n_name, r_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)""")
+def report_expressions(t):
+    joined = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    counts = joined.groupBy("n_name", "r_name").agg(F.count("*").alias("c"))
+    return with_expression(with_expression(counts, "share", "Round(c / Sum(c), 6)", ("r_name",)), "mark", "c > Avg(c) ? Upper(Substring(n_name, 1, 3)) : 'low'")

@@ -150,3 +150,19 @@ def test_csv_round_trip(spark, tmp_path):
     T.write_csv(df, str(tmp_path / "csv"))
     back = spark.read.csv(str(tmp_path / "csv"), schema="id int, s string", header=True, quote='"', escape='"')
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+@pytest.mark.parametrize(("text", "want"), [("1 + 2 * 3", 7), ("(1 + 2) * 3 - -1", 10), ("n % 3 == 1 ? 'a' : 'b'", "a"), ("Iif(n > 5, Upper('x'), 'y')", "X"), ("Len(Trim('  ab '))", 2), ("n / 0", None), ("Sum(n) - Max(n)", 5), ("!(n > 5) || n == 7", True), ("Format(1234.5, '0.00')", "1,234.50")])
+def test_report_expression(spark, text, want):
+    from quillon.operators.report_expr import with_expression
+
+    df = spark.createDataFrame([(7,), (5,)], "n int")
+    assert with_expression(df, "x", text).where("n = 7").first().x == want
+
+
+@pytest.mark.parametrize("text", ["", "1 +", "(1", "1 ? 2", "nope(1)", "1 2", "Upper('a'"])
+def test_report_expression_errors(spark, text):
+    from quillon.operators.report_expr import Bad, with_expression
+
+    with pytest.raises(Bad):
+        with_expression(spark.range(1), "x", text)

@@ -165,6 +165,30 @@ def test_pipeline(spark, sf):
     assert {r.doc_id: tuple(r.ids) for r in corpus_pipeline.run(spark, sf).collect()} == final
 
 
+def test_pipeline_against_brute_force(spark, sf):
+    """The stages after the model's scores, in plain Python."""
+    from test_dedup_ops import brute_fingerprint, brute_lines, roots
+    from tokenizers import Tokenizer
+
+    from quillon.llm.bpe import default_tokenizer
+    from quillon.llm.toxicity import contract_model, toxicity
+
+    docs = table(spark, sf, "documents")
+    scored = toxicity(docs, contract_model(docs, spark, sf), spans=False).collect()
+    rows = brute_lines([(r.doc_id, r.text) for r in scored if r.toxicity.score < 0.5])
+    fp = [brute_fingerprint(t) for _, t in rows]
+    label = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2])
+    smallest = {}
+    for (i, _), g in zip(rows, label, strict=True):
+        smallest[g] = min(smallest.get(g, i), i)
+    rows = [(i, t) for (i, t), g in zip(rows, label, strict=True) if smallest[g] == i]
+    block = decontaminate.Block([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()])
+    rows = [(i, t) for i, t in rows if not block.hits(t)]
+    library = Tokenizer.from_file(default_tokenizer())
+    want = {i: tuple(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
+    assert {r.doc_id: tuple(r.ids) for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
 def test_pipeline_edges(spark, sf):
     rows = [(1, None), (2, ""), (None, "hello there my friend"), (4, "hello there my friend"), (4, "hello there my friend")]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")

@@ -169,12 +169,12 @@ def brute_spans(texts, length):
     data = [(t or "").encode() for t in texts]
     for d in data:
         for p in range(len(d) - length + 1):
-            starts[d[p : p + length]] += 1
+            starts[hash(d[p : p + length])] += 1
     out = []
     for d in data:
         gone = [False] * len(d)
         for p in range(len(d) - length + 1):
-            if starts[d[p : p + length]] > 1:
+            if starts[hash(d[p : p + length])] > 1:
                 gone[p : p + length] = [True] * length
         kept = bytes(c for c, g in zip(d, gone, strict=True) if not g)
         runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
@@ -197,6 +197,12 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
     assert out == dict(enumerate(brute_spans(rows, 120)))
 
 
+def test_suffix_dedup_query(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op5_suffix_dedup(spark, sf).collect()}
+    assert out == dict(zip(texts, brute_spans(texts.values(), 400), strict=True))
+
+
 def test_suffix_dedup_edges(spark):
     long = "".join(random.Random(1).choice("abcdefghij") for _ in range(500))
     df = docs(spark, [(1, long), (1, long), (None, long[:399]), (4, None)]).withColumnsRenamed({"lang": "f", "source": "spans"})

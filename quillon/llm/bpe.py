@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from quillon.llm.common import text_batches
 from quillon.session import table
 
 #: White space as the tokenizer's patterns see it.
@@ -197,6 +198,7 @@ def encode_decode(df: DataFrame, path: str, text_col: str = "text", fields: tupl
     decoded_sha256; columns of these names are replaced). Null and empty texts have no tokens and
     decode to the empty text. Rows are independent, so repeated rows, null ids and columns of any
     other name pass through; an empty table stays empty."""
+    text_batches(df.sparkSession)
     kept = df.drop(*fields) if text_col not in fields else df
     at = kept.columns.index(text_col)
 

@@ -31,6 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Keeps the session's Arrow batches small enough for long texts: what a Python worker and its
+    executor hold at once is one batch. Settings that are smaller already stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 #: Folders of staged tables that this process has written, for ``sweep``.
 _STAGED: list[str] = []
 #: Removes an execution's shuffle files when it ends.

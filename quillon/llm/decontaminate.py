@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import text_batches
 from quillon.session import table
 
 WORD = re.compile(r"[^\W_]+")
@@ -139,6 +140,7 @@ def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", out: str
     and matches of every benchmark item that the whole text holds, in item order. Null and empty
     texts hold none, an empty benchmark finds none. Rows are independent: repeated rows, null ids
     and columns of any name pass through."""
+    text_batches(df.sparkSession)
     found = F.array().cast(_LEAKS)
     for block in benchmark_blocks(items):
         found = F.concat(found, _search(df.sparkSession, block)(F.col(text_col)))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.common import text_batches
 from quillon.session import table
 
 BUCKET_BITS = 15
@@ -50,6 +51,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MA
     At most about ``max_rows`` rows are used, drawn by a hash of ``id_col`` (all rows if it is None).
     Without labelled rows the model is None.
     """
+    text_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(label_col).isNotNull())
     if id_col is not None:
         n = labelled.select(label_col).count()
@@ -90,6 +92,7 @@ def predict(df: DataFrame, model, text_col: str = "text", out: str = "language")
     """Adds a struct column ``out`` (lang, score; replaced if it exists) to every row: the likeliest
     learned language and its posterior probability; ``und`` and 0 if the text is null or has no
     letter, or nothing was learned. Ties go to the language that sorts first."""
+    text_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

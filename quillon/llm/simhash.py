@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import join_groups, staged
+from quillon.llm.common import join_groups, staged, text_batches
 from quillon.llm.components import components
 from quillon.session import table
 
@@ -206,6 +206,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``df`` that stay: of each group of linked documents the one with the smallest id
     (null ids last; of repeated rows one). Null and empty texts share fingerprint zero. All columns,
     whatever their names, come back unchanged; an empty table stays empty."""
+    text_batches(df.sparkSession)
     whole = staged(df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"), F.monotonically_increasing_id().alias("rid")), "simhash")
     stays = simhash_components(whole.select("id", "rid", "fp")).where(F.col("rid") == F.col("keep.rid")).select("rid")
     return whole.join(stays, "rid", "left_semi").select("row.*")
@@ -213,6 +214,7 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint and component of every row of ``documents``."""
+    text_batches(spark)
     docs = table(spark, sf_dir, "documents")
     marked = staged(docs.select(F.col("doc_id").alias("id"), fingerprints(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("rid")), "simhash")
     return simhash_components(marked).select(

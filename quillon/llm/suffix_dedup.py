@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import discard, flag_members, join_groups, staged, with_row_id
+from quillon.llm.common import discard, flag_members, join_groups, staged, text_batches, with_row_id
 from quillon.session import table
 
 LENGTH = 400
@@ -393,6 +393,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``keep_bytes``, the remaining bytes. Texts are UTF-8 bytes, null is empty; strings never cross
     documents. Repeated rows are documents of their own, so both lose what they share. Other columns,
     whatever their names, are not read. An empty table gives no rows."""
+    text_batches(df.sparkSession)
     docs = with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     spans = repeated_spans(docs, F.col("text"), length)
     rows = docs.select("id", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"), F.col("__rid.f").alias("f"), F.col("__rid.r").alias("r"))

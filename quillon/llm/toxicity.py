@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import staged, text_batches
 from quillon.session import table
 
 #: Most labelled rows that training reads (in expectation: rows are drawn by a hash of the id).
@@ -36,7 +36,7 @@ MIN_DOCS = 5
 PREFIXES = range(3, 9)
 WORD = re.compile(r"[^\W_]+")
 GAPS = 8
-CACHE = 300_000
+CACHE = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -245,6 +245,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROW
     """Fits the field on documents (doc_id, text) with a label (doc_id, toxic). Rows without a label
     or id are not used; at most about ``max_rows`` labelled rows are drawn by a hash of the id, so the
     broadcast label table is bounded. Without both labels present nothing is ever toxic."""
+    text_batches(documents.sparkSession)
     labels = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = labels.count()
     if n > max_rows:
@@ -282,6 +283,7 @@ def toxicity(df: DataFrame, model: Chain, text_col: str = "text", out: str = "to
     the offending spans (start, end in characters, p). A null or empty text has no items and gets
     the calibrated score of a clean document. Rows are independent: repeated rows, null ids and
     columns of any name pass through; an empty table stays empty."""
+    text_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,p:double>>" if spans else "score double")
@@ -299,6 +301,7 @@ def toxicity(df: DataFrame, model: Chain, text_col: str = "text", out: str = "to
                     hits = [{"start": m.start(), "end": m.end(), "p": bad[i]} for i, m in enumerate(WORD.finditer(text)) if i in bad] if bad else []
                 found.append(hits)
             yield pd.DataFrame({"score": scores, "spans": found} if spans else {"score": scores})
+        chain.caches = [{}, {}]  # the worker goes on to other tasks
 
     return df.withColumn(out, run(F.col(text_col)))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,14 +78,31 @@ def deletion_keys(line: str) -> tuple[np.ndarray, np.ndarray, np.uint64]:
         return placed, gone, sums[-1]
 
 
-def _variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Variants that a worker gathers before it hands them on.
+VARIANTS = 1 << 16
+
+
+def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, int, int]] = []
+    n = 0
+
+    def flush() -> pa.RecordBatch:
+        sizes = [len(k) for k, _, _ in held]
+        roles = np.concatenate([np.repeat([0, 1, 2], [size // 2, size // 2, 1]) for size in sizes])
+        out = [np.concatenate([k for k, _, _ in held]).view(np.int64), roles.astype(np.int8), np.repeat([h for _, h, _ in held], sizes), np.repeat([h2 for _, _, h2 in held], sizes)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k", "role", "h", "h2"])
+
     for batch in batches:
-        for h, h2, line in zip(batch["h"], batch["h2"], batch["line"], strict=True):
+        for h, h2, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             placed, gone, whole = deletion_keys(line)
-            n = len(gone)
-            yield pd.DataFrame({
-                "k": np.concatenate((placed, gone, [whole])).view(np.int64), "role": np.repeat([0, 1, 2], [n, n, 1]).astype(np.int8), "h": h, "h2": h2,
-            })
+            held.append((np.concatenate((placed, gone, [whole])), h, h2))
+            n += 2 * len(gone) + 1
+            if n >= VARIANTS:
+                yield flush()
+                n = 0
+    if held:
+        yield flush()
 
 
 def near_lines(distinct: DataFrame, texts) -> DataFrame:
@@ -95,7 +112,7 @@ def near_lines(distinct: DataFrame, texts) -> DataFrame:
     lines = staged(texts(first), "lines")
     second = staged(_recurring(lines.select("h", "h2", _halves(F.col("line")).alias("keys"))), "line-halves")
     lines = staged(lines.join(second, ["h", "h2"]).join(distinct.select("h", "h2", "at"), ["h", "h2"]), "near-lines")
-    keyed = staged(lines.select("h", "h2", "line").mapInPandas(_variants, "k long, role byte, h long, h2 long"), "variants")
+    keyed = staged(lines.select("h", "h2", "line").mapInArrow(_variants, "k long, role byte, h long, h2 long"), "variants")
     shared = staged(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     own = join_counted(keyed, shared, ["k"]).select("k", "role", "h", "h2").join(lines.select("h", "h2", "at"), ["h", "h2"])
     own = staged(own, "shared-variants")

@@ -23,6 +23,8 @@ from quillon.session import table
 BUCKET_BITS = 15
 #: Most labelled rows that training reads (in expectation: rows are drawn by a hash of the id).
 MAX_TRAIN_ROWS = 40_000
+#: Most languages; more are refused, so the matrix that is collected and broadcast has a known bound.
+MAX_LANGUAGES = 500
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -49,7 +51,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MA
     """(languages, log matrix [bucket, language], log priors) from rows with a non-null label.
 
     At most about ``max_rows`` rows are used, drawn by a hash of ``id_col`` (all rows if it is None).
-    Without labelled rows the model is None.
+    Without labelled rows the model is None; more than MAX_LANGUAGES labels are an error.
     """
     text_batches(labelled.sparkSession)
     labelled = labelled.where(F.col(label_col).isNotNull())
@@ -58,6 +60,9 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MA
         if n > max_rows:
             labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
 
+    if labelled.select(F.col(label_col).cast("string").alias("lang")).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}

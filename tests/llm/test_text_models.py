@@ -34,6 +34,12 @@ def test_language_edges(spark):
     assert language_id.predict(df.limit(0), model).count() == 0
 
 
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        language_id.train(spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "text string, lang string"), "text", "lang")
+
+
 def test_language_score_is_the_posterior():
     model = (["a", "b"], np.log(np.full((1 << language_id.BUCKET_BITS, 2), [0.25, 0.75])), np.log([0.5, 0.5]))
     grams = language_id.gram_buckets("xy")

@@ -36,11 +36,16 @@ HOT = 1024
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words between white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The 64-bit SimHash of a whole text's word shingles, repeats included."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    words = words_of(text)
     if not words:
         return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest

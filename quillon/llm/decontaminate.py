@@ -4,7 +4,7 @@ Fixed masks select some of the tokens in a window and ignore the others, so a wi
 alike after a substitution at an ignored place. The benchmark's hashes for every mask and position
 are sorted; each batch of documents computes its own and joins them by binary search. A hit fixes an
 item and a diagonal; along it the whole overlap is compared token by token, and the best local segment
-(a match counts 1, a mismatch -2) must hold enough matches.
+(a match counts 1, a mismatch -2), or any other segment, must hold enough matches.
 
 The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each broadcast and
 run against all documents, so the broadcast is bounded however long the benchmark is. Documents are
@@ -89,7 +89,7 @@ class Block:
                 lines.update(zip(item[lo:hi].tolist(), (s - at[lo:hi]).tolist(), strict=True))
         best: dict[int, dict] = {}
         for k, offset in sorted(lines):
-            if (found := self.segment(ids, k, offset)) and found["matches"] > best.get(k, {"matches": 0})["matches"]:
+            if (found := self.segment(ids, k, offset) or self.inner(ids, k, offset)) and found["matches"] > best.get(k, {"matches": 0})["matches"]:
                 best[k] = found
         return list(best.values())
 
@@ -107,6 +107,28 @@ class Block:
             return None
         return {"item_id": int(self.ids[k]), "start": start + lo + offset, "length": length, "matches": matches}
 
+    def inner(self, ids: np.ndarray, k: int, offset: int) -> dict | None:
+        """Of all segments of item k laid at ``offset`` of the text that are leaks, the one with the most matches.
+
+        A segment has the share if its tokens' weights, weighed so that the share sums to zero, sum to zero
+        or more. Its matches only grow to the left, so for every end the leftmost start is the best one.
+        """
+        item = self.tokens[k]
+        lo, hi = max(0, -offset), min(len(item), len(ids) - offset)
+        same = item[lo:hi] == ids[lo + offset : hi + offset]
+        count = np.concatenate(([0], np.cumsum(same)))
+        if count[-1] < min(MIN_MATCHES, len(item)):
+            return None
+        total = count - MIN_SHARE * np.arange(len(count)) + 1e-9 * np.arange(len(count))
+        start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
+        matches = count - count[start]
+        end = int(matches.argmax())
+        if matches[end] < min(MIN_MATCHES, len(item)):
+            return None
+        places = np.flatnonzero(same[start[end] : end]) + int(start[end])
+        first, length = int(places[0]), int(places[-1] - places[0]) + 1
+        return {"item_id": int(self.ids[k]), "start": first + lo + offset, "length": length, "matches": int(matches[end])}
+
 
 def benchmark_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
     """The benchmark's items in blocks, read through a local iterator; null ids and texts are skipped."""

@@ -6,6 +6,9 @@ are sorted; each batch of documents computes its own and joins them by binary se
 item and a diagonal; along it the whole overlap is compared token by token, and the best local segment
 (a match counts 1, a mismatch -2), or any other segment, must hold enough matches.
 
+Short items are cut into one piece more than they may have mismatches, so one piece at least is whole in
+every leak; the pieces are their seeds.
+
 The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each broadcast and
 run against all documents, so the broadcast is bounded however long the benchmark is. Documents are
 never shuffled, and common passages cost no more than their own length.
@@ -13,6 +16,7 @@ never shuffled, and common passages cost no more than their own length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -28,12 +32,12 @@ WORD = re.compile(r"[^\W_]+")
 #: The seed masks (1: the token counts, 0: it is ignored).
 MASKS = ("11011011", "110111011", "110111101", "1110110111", "10110111", "11101101011")
 BLOCK_ITEMS = 20_000
-#: Tokens that must match (all of an item's, if it has fewer), and their least share of the segment.
+#: Tokens that must match (MIN_SHARE of an item's, if that is fewer), and their least share of the segment.
 MIN_MATCHES = 13
 MIN_SHARE = 0.8
 MISMATCH = -2
 #: Items under this many tokens are no evidence of a leak and aren't searched.
-MIN_ITEM = 8
+MIN_ITEM = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -60,6 +64,20 @@ def seed_hashes(ids: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def needed(n: int) -> int:
+    """The tokens of an item of ``n`` that a leak must match."""
+    return min(MIN_MATCHES, math.ceil(MIN_SHARE * n - 1e-9))
+
+
+def pieces(n: int) -> list[tuple[int, int]]:
+    """(start, width) of the pieces of a short item: more than it may have mismatches. None for longer ones."""
+    need = needed(n)
+    if n < MIN_ITEM or need < MIN_SHARE * n - 1e-9:
+        return []
+    cuts = [n * i // (n - need + 1) for i in range(n - need + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 class Block:
     """The seed table of a block of benchmark items."""
 
@@ -68,20 +86,27 @@ class Block:
         self.ids = [i for i, _ in items]
         self.tokens = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)], np.int32) for _, t in items]
         self.seeds = []
-        for mask in MASKS:
-            found = [(k, *seed_hashes(t, mask)) for k, t in enumerate(self.tokens) if len(t) >= MIN_ITEM]
+        short = [pieces(len(t)) for t in self.tokens]
+        widths = sorted({w for p in short for _, w in p})
+        for mask in (*MASKS, *("1" * w for w in widths)):
+            found = [(k, *seed_hashes(t, mask)) for k, t in enumerate(self.tokens) if mask in MASKS and len(t) >= MIN_ITEM]
+            if mask not in MASKS:
+                for k, p in enumerate(short):
+                    starts, h = seed_hashes(self.tokens[k], mask)
+                    own = np.isin(starts, [start for start, w in p if w == len(mask)])
+                    found.append((k, starts[own], h[own]))
             h = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.uint64)
             item = np.concatenate([np.full(len(f[1]), f[0]) for f in found]) if found else np.empty(0, np.int64)
             at = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
             order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], item[order], at[order]))
+            self.seeds.append((mask, h[order], item[order], at[order]))
 
     def hits(self, text: str | None) -> list[dict]:
         """The items that a text holds, each with its best segment: words from ``start``, ``length``, matches."""
         lookup = self.vocabulary.get
         ids = np.array([lookup(w, 0) for w in tokens(text)], np.int32)
         lines: set[tuple[int, int]] = set()
-        for mask, (table_h, item, at) in zip(MASKS, self.seeds, strict=True):
+        for mask, table_h, item, at in self.seeds:
             start, h = seed_hashes(ids, mask)
             low, high = np.searchsorted(table_h, h, "left"), np.searchsorted(table_h, h, "right")
             some = np.flatnonzero(high > low)
@@ -103,7 +128,7 @@ class Block:
         end = len(gain) - 1 - int(gain[::-1].argmax())
         start = int(total[: end + 1].argmin())
         matches, length = int(same[start:end].sum()), end - start
-        if matches < min(MIN_MATCHES, len(item)) or matches < MIN_SHARE * length:
+        if matches < needed(len(item)) or matches < MIN_SHARE * length:
             return None
         return {"item_id": int(self.ids[k]), "start": start + lo + offset, "length": length, "matches": matches}
 
@@ -117,13 +142,13 @@ class Block:
         lo, hi = max(0, -offset), min(len(item), len(ids) - offset)
         same = item[lo:hi] == ids[lo + offset : hi + offset]
         count = np.concatenate(([0], np.cumsum(same)))
-        if count[-1] < min(MIN_MATCHES, len(item)):
+        if count[-1] < needed(len(item)):
             return None
         total = count - MIN_SHARE * np.arange(len(count)) + 1e-9 * np.arange(len(count))
         start = np.searchsorted(-np.minimum.accumulate(total), -total, "left")
         matches = count - count[start]
         end = int(matches.argmax())
-        if matches[end] < min(MIN_MATCHES, len(item)):
+        if matches[end] < needed(len(item)):
             return None
         places = np.flatnonzero(same[start[end] : end]) + int(start[end])
         first, length = int(places[0]), int(places[-1] - places[0]) + 1

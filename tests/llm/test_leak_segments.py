@@ -1,6 +1,9 @@
 """Leaks on one diagonal and of short items against brute force."""
 
+import random
+
 import numpy as np
+import pytest
 
 from quillon.llm import decontaminate
 
@@ -34,3 +37,15 @@ def test_inner_segment_against_brute_force():
             assert same[found["start"] : found["start"] + found["length"]].sum() == best >= 0.8 * found["length"]
         seen.add(bool(found))
     assert seen == {True, False}
+
+
+@pytest.mark.parametrize("n", range(4, 17))
+def test_short_items(n):
+    rng = random.Random(n)
+    need = -(-4 * n // 5)
+    assert pattern([True] * n)
+    for _ in range(60):
+        gone = set(rng.sample(range(n), n - need))
+        assert pattern([i not in gone for i in range(n)])
+        gone = set(rng.sample(range(n), n - need + 1))
+        assert not pattern([i not in gone for i in range(n)])

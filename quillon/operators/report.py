@@ -11,12 +11,17 @@ _AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count":
 def matrix(df: DataFrame, rows: list[str], column: str, value: str, aggregate: str = "sum", values: list | None = None, totals: bool = True, subtotals: bool = False) -> DataFrame:
     """A cross-tab: one row for each row heading, one column for each value of ``column``, a total
     column, and total rows (heading NULL, level = number of headings summed away). Give ``values`` to
-    fix the columns without a pass over the data."""
+    fix the columns without a pass over the data; the totals are then of these columns, else of all rows.
+    A NULL heading is a column named null."""
     agg = _AGGREGATES[aggregate]
+    summed = F.col(value)
     if values is None:
-        values = [r[0] for r in df.select(column).distinct().orderBy(column).limit(1000).collect()]
-    cells = [agg(F.when(F.col(column) == v, F.col(value))).alias(str(v)) for v in values]
-    whole = [agg(F.when(F.col(column).isin(values), F.col(value))).alias("total")] if totals else []
+        values = [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+    else:
+        null = F.col(column).isNull() if None in values else F.lit(False)
+        summed = F.when(null | F.coalesce(F.col(column).isin([v for v in values if v is not None]), F.lit(False)), summed)
+    cells = [agg(F.when(F.col(column).eqNullSafe(v), F.col(value))).alias("null" if v is None else str(v)) for v in values]
+    whole = [agg(summed).alias("total")] if totals else []
     if not totals:
         return df.groupBy(*rows).agg(*cells)
     out = df.rollup(*rows).agg(*cells, *whole, F.grouping_id().alias("__id"))

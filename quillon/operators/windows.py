@@ -18,7 +18,8 @@ UNBOUNDED = None
 @dataclass(frozen=True)
 class Over:
     """PARTITION BY, ORDER BY and frame of a window. Frame offsets: negative is PRECEDING, 0 the
-    current row, positive FOLLOWING, None unbounded on that side."""
+    current row, positive FOLLOWING, None unbounded on that side. A RANGE offset beyond 32 bits needs a
+    BIGINT order column: Spark refuses to cast it to a narrower one."""
 
     partition: tuple[Column, ...] = ()
     order: tuple[Column, ...] = ()
@@ -41,14 +42,15 @@ class Over:
         if self.order:
             spec = spec.orderBy(*self.order)
         if self.unit:
-            low = Window.unboundedPreceding if self.start is None else clamp(self.start)
-            high = Window.unboundedFollowing if self.end is None else clamp(self.end)
+            bound = clamp if self.unit == "rows" else lambda offset: offset
+            low = Window.unboundedPreceding if self.start is None else bound(self.start)
+            high = Window.unboundedFollowing if self.end is None else bound(self.end)
             spec = spec.rowsBetween(low, high) if self.unit == "rows" else spec.rangeBetween(low, high)
         return spec
 
 
 def clamp(offset: int | float) -> int | float:
-    """Row offsets beyond 32 bits reach past any partition all the same."""
+    """Row and group offsets beyond 32 bits reach past any partition all the same."""
     return max(-(1 << 31) + 1, min((1 << 31) - 1, offset))
 
 
@@ -62,7 +64,8 @@ def prepared(df: DataFrame, spec: Over, group: str = "__group") -> tuple[DataFra
     if spec.unit != "groups":
         return df, spec
     df = df.withColumn(group, F.dense_rank().over(ordered(spec)))
-    return df, replace(spec, order=(F.col(group),), unit="range")
+    start, end = (None if x is None else clamp(x) for x in (spec.start, spec.end))
+    return df, replace(spec, order=(F.col(group),), unit="range", start=start, end=end)
 
 
 def excluded_sum(value: Column, spec: Over) -> Column:

@@ -72,21 +72,28 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
-def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int = 1000) -> DataFrame:
+#: Rounds after which the rows found so far are checkpointed as one, so that plans stay small.
+MERGE_ROUNDS = 64
+
+
+def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int | None = None) -> DataFrame:
     """WITH RECURSIVE: ``step`` maps the rows of one round to the next's; with ``distinct`` (UNION) rows
     that were met before don't recur, so cycles end. Each round is checkpointed to the shared folder
-    (spark.checkpoint.dir), and only its new rows go into the next."""
+    (spark.checkpoint.dir), and only its new rows go into the next. Rounds go on until one brings no new
+    rows; RecursionError after ``max_rounds``, if given."""
     _checkpoint_folder(seed.sparkSession)
     fresh = (seed.distinct() if distinct else seed).checkpoint()
-    found = fresh
-    for _ in range(max_rounds):
+    found, rounds = fresh, 0
+    while max_rounds is None or rounds < max_rounds:
         new = step(fresh)
         if distinct:
             new = new.distinct().join(found, [new[a].eqNullSafe(found[b]) for a, b in zip(new.columns, found.columns, strict=True)], "left_anti")
         fresh = new.toDF(*seed.columns).checkpoint()
         if fresh.isEmpty():
             return found
-        found = found.union(fresh)
+        found, rounds = found.union(fresh), rounds + 1
+        if rounds % MERGE_ROUNDS == 0:
+            found = found.coalesce(max(1, seed.sparkSession.sparkContext.defaultParallelism)).checkpoint()
     raise RecursionError(f"no end after {max_rounds} rounds")
 
 

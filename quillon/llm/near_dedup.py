@@ -1,77 +1,135 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Every text becomes the set of its hashed shingles. Equal sets are put together first. For the others,
-bands of MinHash values are the candidate keys: a pair at similarity s shares one of BANDS keys of
-ROWS values with probability 1 - (1 - s**ROWS)**BANDS (0.999997 at 0.8), and every candidate is
-verified exactly on the two sets, so no pair under the bound is linked.
-
-A key that many texts share isn't paired with itself: each round links a key's texts to one leader of
-the key and follows the links to components; only texts of one key that are in different components
-then are compared pair by pair.
+"""SimHash near-deduplication: documents whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+Every text becomes the set of its hashed shingles and a SimHash of it, WIDE words wide: at a similarity
+of 0.8 about 15% of the bits differ, of unrelated texts half. Equal sets are put together first. The
+distinct ones are routed by values of sampled bits, by so many samples that a pair at the bound is missed
+by all of them with a probability of ``MISS``; samples grow wider, and more, with the number of texts, so
+a value's group stays small. A group is searched by the Gray-order hierarchical index, which prunes whole
+groups of nodes by the differences accumulated over their shared masks, and every pair that it finds is
+verified exactly on the two sets before it links anything.
+
+A large cluster isn't paired off. The first pass takes two partners of a text at most, the nearest and the
+one with the least hash, verifies them and follows the links to components. The second pass only pairs
+texts of different components. A value that more than ``HOT`` texts share is cut into blocks at random in
+the first pass (each sample cuts another way); in the second, the blocks of all texts outside its
+commonest component meet every other block, a pair of blocks at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import join_groups, staged, text_batches
 from quillon.llm.components import components
-from quillon.llm.simhash import words_of
+from quillon.llm.simhash import GrayIndex, words_of
 
 SHINGLE = 5
 SHARE = 0.8
-BANDS = 24
-ROWS = 4
-#: Rounds of one leader for each key, before what is left is compared pair by pair.
-LEADERS = 3
-_RNG = np.random.default_rng(42)
-_TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+#: 64-bit words of a fingerprint.
+WIDE = 4
+#: Odds that no sample routes a pair at the bound together.
+MISS = 0.002
+#: Standard deviations of the differing bits that the bound allows for.
+SLACK = 5.0
+#: Texts of one value that are searched as one group.
+HOT = 2048
+#: Words whose hashes a worker remembers.
+CACHE = 1 << 19
+_SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+
+
+class _WordHashes(dict):
+    """XXH64 of a word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
 
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """The sorted distinct hashes of a whole text's word shingles."""
-    import xxhash
 
-    words, digest = words_of(text), xxhash.xxh64_intdigest
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([digest(joined, 42)], np.uint64)
-    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
-    starts = [0, *(e + 1 for e in ends)]
-    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :], strict=False)), np.uint64, len(words) - shingle + 1))
+_HASHES = _WordHashes()
+
 
+def _mixed(h: np.ndarray, by: np.uint64) -> np.ndarray:
+    h = (h ^ by) * _SPREAD[0]
+    h = (h ^ (h >> np.uint64(29))) * _SPREAD[1]
+    return h ^ (h >> np.uint64(32))
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys of a set of shingles, none for the empty set."""
-    import xxhash
 
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for lo in range(0, len(shingles), 512):
-        np.minimum(least, (shingles[lo : lo + 512] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a whole text's word shingles; fewer words are one shingle, no words none."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, np.uint64)
+    of = _HASHES
+    w = np.array([of[x] for x in words], np.uint64)
+    if len(w) < shingle:
+        w = np.concatenate((w, np.full(shingle - len(w), len(w), np.uint64)))
+    n = len(w) - shingle + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        h = _mixed(h ^ w[k : k + n], _SPREAD[2])
+    return np.unique(h)
+
+
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes: a bit is 1 if it is set in over half of them."""
+    totals, n = np.zeros(64 * WIDE, np.int64), len(shingles)
+    for lo in range(0, n, 255 * 16):
+        h = shingles[lo : lo + 255 * 16]
+        spread = np.stack([_mixed(h, by) for by in _SPREAD], axis=1)
+        ones = np.unpackbits(spread.view(np.uint8), axis=1, bitorder="little").view(np.uint64)  # eight counters a word
+        sums = np.add.reduceat(ones, np.arange(0, len(h), 255), axis=0)
+        totals += sums.view(np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(totals * 2 > n, bitorder="little").view(np.uint64)
+
+
+def sampling(texts: int, share: float, miss: float = MISS) -> tuple[int, int, int]:
+    """(differing bits allowed, bits of a sample, samples) for so many texts. Sets at a similarity of s have a cosine of
+    2s / (1 + s) at least, which is the angle between them and so the odds that a bit differs."""
+    odds = math.acos(2 * share / (1 + share)) / math.pi
+    n = 64 * WIDE
+    width = max(8, math.ceil(math.log2(max(2, texts))) - 6)
+    samples = math.ceil(math.log(miss) / math.log1p(-((1 - odds) ** width))) if odds else 1
+    return min(n, math.ceil(n * odds + SLACK * math.sqrt(n * odds * (1 - odds)))), width, samples
+
+
+def _masks(width: int, samples: int) -> list[list[int]]:
+    """The sampled bits, as a mask of WIDE signed words for each sample."""
+    rng, out = np.random.default_rng(64), []
+    for _ in range(samples):
+        bits = np.zeros(64 * WIDE, np.uint8)
+        bits[rng.choice(64 * WIDE, width, replace=False)] = 1
+        out.append(np.packbits(bits, bitorder="little").view(np.int64).tolist())
+    return out
 
 
 def _sketches(text: Column, shingle: int) -> Column:
-    """The set's own hash, its size and its keys."""
+    """The set's own hash, its size and its fingerprint."""
 
-    @F.pandas_udf("h long, n int, keys array<long>")
+    @F.pandas_udf("h long, n int, fp array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for texts in batches:
-            sets = [shingle_set(t, shingle) for t in texts]
-            h = np.array([xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"h": h, "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]})
+            h, n, fp = [], [], []
+            for t in texts:
+                s = shingle_set(t, shingle)
+                h.append(xxhash.xxh64_intdigest(s.tobytes()) if len(s) else 0)
+                n.append(len(s))
+                fp.append(fingerprint(s).view(np.int64))
+            yield pd.DataFrame({"h": np.array(h, np.uint64).view(np.int64), "n": n, "fp": fp})
+        _HASHES.clear()  # the worker goes on to other tasks
 
     return run(text)
 
@@ -81,6 +139,7 @@ def _sets(text: Column, shingle: int) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+        _HASHES.clear()
 
     return run(text)
 
@@ -98,59 +157,141 @@ def _shared(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """The pairs (a, b) of sets (h, shingles) whose Jaccard similarity is at least ``share``."""
     mine, theirs = sets.select(F.col("h").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("h").alias("b"), F.col("shingles").alias("y"))
-    both = join_groups(join_groups(pairs, mine, ["a"]), theirs, ["b"]).select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), _shared(F.col("x"), F.col("y")).alias("n"))
+    both = join_groups(join_groups(pairs, mine, ["a"]), theirs, ["b"])
+    both = both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), _shared(F.col("x"), F.col("y")).alias("n"))
     return both.where(F.col("n") >= F.lit(share) * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
 
 
-def near_links(reps: DataFrame, sets_of, share: float = SHARE) -> DataFrame:
-    """(node, root) for the sets (h, n, keys) that are linked with others. sets_of(hashes) returns
-    (h, shingles) for a table of them."""
-    keyed = reps.select("h", "n", F.explode("keys").alias("k"))
-    shared = staged(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1"), "near-keys")
-    left = staged(join_groups(keyed, shared, ["k"]).select("k", "h", "n", F.col("h").alias("root")), "near-keyed")
-    sets = staged(sets_of(left.select("h").distinct()), "near-sets")
-    fits = F.least("n", "on") >= F.lit(share) * F.greatest("n", "on") - 1e-9
-    edges = roots = None
-    for turn in range(LEADERS + 1):
-        if turn < LEADERS:
-            first = left.groupBy("k").agg(F.min(F.struct(F.xxhash64("h", F.lit(turn)).alias("by"), "h", "n")).alias("first"))
-            pairs = join_groups(left, first, ["k"]).select("h", "n", F.col("first.h").alias("o"), F.col("first.n").alias("on"))
-            pairs = pairs.where(F.col("h") != F.col("o"))
-        else:
-            other = left.select("k", F.col("h").alias("o"), F.col("n").alias("on"), F.col("root").alias("oroot"))
-            pairs = left.join(other, "k").where((F.col("h") < F.col("o")) & (F.col("root") != F.col("oroot")))
-        pairs = pairs.where(fits).select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-        found = _verified(pairs, sets, share)
-        edges = staged(found if edges is None else edges.union(found), "near-pairs")
-        roots = components(edges)
-        if turn == LEADERS:
-            return roots
-        parted = join_groups(left.select("k", "h", "n"), roots.withColumnRenamed("node", "h"), ["h"], "left").withColumn("root", F.coalesce("root", "h"))
-        parted = staged(parted, "near-parted")
-        open_keys = parted.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-        left = staged(join_groups(parted, open_keys, ["k"]), "near-open")
-        if left.isEmpty():
-            return roots
-
-
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
+def _search(bits: int, share: float, every: bool):
+    """Candidate pairs (a, b, far) of rows (key, h, n, root, fp) sorted by key: of different roots, with sizes that allow the
+    share, within ``bits``. Unless ``every``, only the nearest and the least partner of each text of a group."""
+
+    def found(key: np.ndarray, h: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(key, fp)
+        h, n, root = h[index.order], n[index.order], root[index.order]
+        nearest, least = np.full(len(h), -1), np.full(len(h), -1)
+        least_far = np.zeros(len(h), np.int64)
+        nearest_far = np.full(len(h), 1 << 30)
+        for i, j, far in index.near(bits):
+            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9)
+            i, j, far = i[ok], j[ok], far[ok]
+            if every:
+                if len(i):
+                    yield _pairs(h[i], h[j], far)
+                continue
+            for x, y in ((i, j), (j, i)):
+                order = np.lexsort((h[y], far))[::-1]  # the last of several assignments stays: the best
+                a, b, d = x[order], y[order], far[order]
+                better = (d < nearest_far[a]) | (d == nearest_far[a]) & (h[b] < h[nearest[a]])
+                nearest[a[better]], nearest_far[a[better]] = b[better], d[better]
+                order = np.argsort(h[y])[::-1]
+                a, b, d = x[order], y[order], far[order]
+                better = (least[a] < 0) | (h[b] < h[least[a]])
+                least[a[better]], least_far[a[better]] = b[better], d[better]
+        at = np.flatnonzero(nearest >= 0)
+        if len(at):
+            yield _pairs(np.concatenate((h[at], h[at])), np.concatenate((h[nearest[at]], h[least[at]])), np.concatenate((nearest_far[at], least_far[at])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            new.append(batch.column(4).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64))
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            if len(held[0]) < 20_000:
+                continue
+            cut = int(np.flatnonzero(held[0] == held[0][-1])[0])
+            if cut:
+                yield from found(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
+            yield from found(*held)
+
+    return run
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far.astype(np.int32))], names=["a", "b", "far"])
+
+
+def _candidates(routed: DataFrame, bits: int, share: float, every: bool) -> DataFrame:
+    rows = routed.select("key", "h", "n", "root", "fp").repartition("key").sortWithinPartitions("key")
+    return rows.mapInArrow(_search(bits, share, every), "a long, b long, far int")
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / F.lit(HOT))
+
+
+def near_links(reps: DataFrame, texts: int, sets_of, share: float = SHARE) -> DataFrame:
+    """(node, root) for the sets (h, n, fp) that are linked with others. sets_of(hashes) returns
+    (h, shingles) for a table of them; ``texts`` is about how many sets there are."""
+    bits, width, samples = sampling(texts, share)
+    masks = F.array(*(F.struct(F.lit(k).alias("k"), *(F.lit(w).cast("long").alias(f"w{j}") for j, w in enumerate(m))) for k, m in enumerate(_masks(width, samples))))
+    hashed = F.transform(masks, lambda m: F.xxhash64(m["k"], *(F.col("fp")[j].bitwiseAND(m[f"w{j}"]) for j in range(WIDE))))
+    keyed = reps.where("n > 0").select("h", "n", "fp", F.explode(hashed).alias("key"))
+    hot = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "near-hot")
+    if hot.isEmpty():
+        first, hot = keyed, None
+    else:
+        block = F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("h", "key"), _blocks(F.col("m")))))
+        first = join_groups(keyed, hot, ["key"], "left").withColumn("key", block)
+    near = staged(_candidates(first.withColumn("root", F.col("h")), bits, share, False), "near-first")
+    # of each text's partners in all groups the nearest and the least
+    best = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("nearest"), F.min("b").alias("least"))
+    pairs = best.select("a", F.explode(F.array("nearest.b", "least")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    some = near.select(F.col("a").alias("h")).distinct()
+    if hot is not None:
+        some = some.union(join_groups(keyed, hot, ["key"]).select("h")).distinct()
+    some = staged(some, "near-some")
+    sets = staged(sets_of(some), "near-sets")
+    edges = staged(_verified(staged(pairs, "near-pairs"), sets, share), "near-links")
+    roots = components(edges)
+    rows = join_groups(keyed, some, ["h"])
+    rows = join_groups(rows, roots.withColumnRenamed("node", "h"), ["h"], "left").withColumn("root", F.coalesce("root", "h"))
+    if hot is not None:
+        rows = _block_pairs(staged(rows, "near-rooted"), hot)
+    pairs = _candidates(rows, bits, share, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = staged(_verified(staged(pairs, "near-pairs"), sets, share), "near-links")
+    return roots if more.isEmpty() else components(edges.union(more))
+
+
+def _block_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Of rows (key, h, n, fp, root) those of hot keys under one key for each pair of blocks that meet; a block holds
+    about HOT texts, either all of the key's commonest root or none of it. Blocks of that root don't meet each other."""
+    tagged = join_groups(rows, hot.select("key", F.lit(True).alias("hot")), ["key"], "left")
+    large = tagged.where("hot")
+    roots = large.groupBy("key", "root").agg(F.count("*").alias("m"))
+    most = roots.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("m"))
+    most = staged(most.select("key", F.col("most.root").alias("common"), _blocks(F.col("most.m")).alias("bulk"), _blocks(F.col("m") - F.col("most.m")).alias("open")), "near-blocks")
+    placed = join_groups(large, most.where("open > 0"), ["key"])
+    apart = F.col("root") != F.col("common")
+    spread = F.xxhash64("h", "key")
+    own = F.when(apart, F.col("bulk") + F.pmod(spread, F.greatest("open", F.lit(1)))).otherwise(F.pmod(spread, F.col("bulk")))
+    others = F.sequence(F.when(apart, F.lit(0).cast("long")).otherwise(F.col("bulk")), F.col("bulk") + F.col("open") - 1)
+    met = placed.withColumn("own", own).withColumn("other", F.explode(others))
+    met = met.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return tagged.where("hot is null").select("key", "h", "n", "fp", "root").unionByName(met.select("key", "h", "n", "fp", "root"))
+
+
+def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
     """The rows of ``df`` that stay: of each group of documents linked by a shingle similarity of at least
-    ``share`` the one with the smallest id (null ids last; of repeated rows one). Texts of up to
-    ``shingle`` words are one shingle; null and empty texts are alike. All columns, whatever their
-    names, come back unchanged; an empty table stays empty."""
+    ``share`` the one with the smallest id (null ids last; of repeated rows one). Texts under ``shingle``
+    words are one shingle; null and empty texts are alike. All columns, whatever their names, come back
+    unchanged; an empty table stays empty. Very long texts are read whole, 4080 shingles at a time."""
     text_batches(df.sparkSession, rows=256)
     whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     whole = staged(whole.select("row", "id", "rid", _sketches(F.col("text"), shingle).alias("s")).select("row", "id", "rid", "s.*"), "near")
     firsts = whole.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "rid")).alias("first"))
     firsts = staged(firsts, "near-firsts")
-    reps = whole.select("rid", "h", "n", "keys").join(firsts.select(F.col("first.rid").alias("rid")), "rid", "left_semi")
+    reps = staged(whole.select("rid", "h", "n", "fp").join(firsts.select(F.col("first.rid").alias("rid")), "rid", "left_semi").drop("rid"), "near-reps")
 
     def sets_of(hashes: DataFrame) -> DataFrame:
         rids = hashes.join(firsts, "h").select(F.col("first.rid").alias("rid"))
         texts = whole.select("rid", "h", F.col("row").getField(text_col).alias("text")).join(rids, "rid", "left_semi")
         return texts.select("h", _sets(F.col("text"), shingle).alias("shingles"))
 
-    roots = near_links(reps.drop("rid"), sets_of, share)
+    roots = near_links(reps, reps.count(), sets_of, share)
     rooted = firsts.join(roots, firsts["h"] == roots["node"], "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first").alias("keep")).select(F.col("keep.rid").alias("rid"))
     return whole.join(staged(stays, "near-kept"), "rid", "left_semi").select("row.*")

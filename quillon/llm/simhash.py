@@ -8,8 +8,8 @@ the root; a child adds only the differences in bits that its parents' masks left
 difference accumulated so far, and a pair of groups is dropped as a whole once that exceeds the bound.
 
 A segment value held by more than ``hot`` distinct fingerprints (a large cluster of near copies) is
-not joined in one task. Its fingerprints emit all their one-bit variants instead: two fingerprints
-differ in at most two bits exactly if they share a variant, and no variant is shared by more than 65.
+not joined in one task: its fingerprints are routed on by segments of the bits that are left, each
+with its own tree.
 
 Links become components; only fingerprints, never documents or all pairs, are compared.
 """
@@ -29,10 +29,9 @@ from quillon.llm.components import components
 from quillon.session import table
 
 BITS = 2
-#: (shift, width) of the segments.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
 FAN = 8
-HOT = 1024
+#: A segment value with more distinct fingerprints is split by further segments.
+HOT = 1 << 16
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -80,17 +79,27 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_ranks(words: np.ndarray) -> list[np.ndarray]:
+    """The Gray rank of codes of several words, first word highest: a word whose rank before ends in 1 is inverted."""
+    ranks: list[np.ndarray] = []
+    for k in range(words.shape[1]):
+        rank = gray_rank(words[:, k])
+        ranks.append(rank ^ -(ranks[-1] & np.uint64(1)) if ranks else rank)
+    return ranks
+
+
 class GrayIndex:
     """Trees over the groups of equal key of Gray-sorted fingerprints, one root for each group.
 
-    levels[l] holds a level's nodes: pattern, mask of shared bits, first child and end of children.
+    A fingerprint is one 64-bit word or a row of several. levels[l] holds a level's nodes: pattern, mask
+    of shared bits, first child and end of children. ``order`` tells which input row each place holds.
     """
 
     def __init__(self, key: np.ndarray, fp: np.ndarray):
-        order = np.lexsort((gray_rank(fp), key))
-        self.key, self.fp = key[order], fp[order]
-        full = np.full(len(fp), ~np.uint64(0))
-        self.levels = [(self.fp, full, None, None)]
+        words = fp.reshape(len(fp), -1)
+        self.order = order = np.lexsort((*gray_ranks(words)[::-1], key))
+        self.key, self.fp, words = key[order], fp[order], words[order]
+        self.levels = [(words, np.full(words.shape, ~np.uint64(0)), None, None)]
         owner = self.key
         while True:
             low, high = self.levels[-1][0], self.levels[-1][0] | ~self.levels[-1][1]
@@ -105,12 +114,17 @@ class GrayIndex:
 
     def pairs(self, bits: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (i < j) of fingerprints of one group within ``bits`` differing bits."""
+        for i, j, _ in self.near(bits, most):
+            yield i, j
+
+    def near(self, bits: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Positions (i < j) of fingerprints of one group within ``bits`` differing bits, and how many differ."""
         top, roots = len(self.levels) - 1, np.arange(len(self.levels[-1][0]))
         stack = [(top, roots, roots, np.zeros(len(roots), np.int64))]
         while stack:
             level, i, j, far = stack.pop()
             if level == 0:
-                yield i, j
+                yield i, j, far
                 continue
             if len(i) > most // FAN**2:
                 half = len(i) // 2
@@ -123,8 +137,13 @@ class GrayIndex:
             real = (a < end[i][:, None, None]) & (b < end[j][:, None, None]) & ((a < b) if level == 1 else (a <= b))
             at, x, y = np.nonzero(real)
             a, b = first[i][at] + x, first[j][at] + y
-            known = mask[i][at] & mask[j][at]
-            far = far[at] + np.bitwise_count((pattern[a] ^ pattern[b]) & below[a] & below[b] & ~known).astype(np.int64)
+            differ = pattern[a] ^ pattern[b]
+            if level > 1:  # leaves know all their bits; what their parents had is counted with the rest
+                known = mask[i] & mask[j]
+                differ &= below[a] & below[b] & ~known[at]
+                far = far[at] + np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+            else:
+                far = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
             near = far <= bits
             if near.any():
                 stack.append((level - 1, a[near], b[near], far[near]))
@@ -172,28 +191,43 @@ def _join_groups_of(bits: int):
     return run
 
 
+def split(mask: int, parts: int = BITS + 1) -> list[int]:
+    """``mask`` and one of ``parts`` even runs of the bits it leaves out: fingerprints that agree in the mask and
+    differ in fewer bits than there are parts agree in one of the results too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * k // parts for k in range(parts + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _routed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(key, mask, fp): a fingerprint's value under each mask; ``fps`` may have a column ``within``, the one mask to split."""
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    known = F.array(*(F.struct(F.lit(signed(of)).cast("long").alias("of"), F.lit(signed(m)).cast("long").alias("m")) for of in masks for m in split(of)))
+    own = F.filter(known, lambda x: x["of"] == F.col("within")) if "within" in fps.columns else known
+    return fps.select("fp", F.explode(own).alias("x")).select(F.xxhash64("x.m", F.col("fp").bitwiseAND(F.col("x.m"))).alias("key"), F.col("x.m").alias("mask"), "fp")
+
+
 def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """(a, b): enough links between distinct fingerprints (fp) to connect all within two bits."""
-    routed = fps.select(
-        F.explode(F.array(*(F.struct(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) * 4 + i).alias("x") for i, (s, w) in enumerate(SEGMENTS)))).alias("x"),
-        "fp",
-    ).select(F.col("x.col1").alias("key"), "fp")
-    large = staged(routed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-segments")
-    if large.isEmpty():
-        cold, found = routed, []
-    else:
-        tagged = staged(join_groups(routed, large, ["key"], "left"), "segments")
-        cold = tagged.where("n is null").select("key", "fp")
-        flips = F.array(F.lit(0).cast("long"), *(F.shiftleft(F.lit(1).cast("long"), b) for b in range(64)))
-        variants = tagged.where("n is not null").select("fp").distinct().select("fp", F.explode(flips).alias("flip"))
-        shared = variants.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("v"), "fp").groupBy("v").agg(F.collect_set("fp").alias("fps"))
-        found = [
-            shared.where(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).where("a <> b").distinct()
-        ]
-    cold_links = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_join_groups_of(BITS), "a long, b long")
-    for more in found:
-        cold_links = cold_links.union(more)
-    return cold_links
+    """(a, b): enough links between distinct fingerprints (fp) to connect all within two bits.
+
+    A value that more than ``hot`` fingerprints have under a mask is routed on by segments of the bits that
+    are left, each again with its own tree, until no group is larger or three levels are split: what then
+    still agrees leaves under 20 bits free."""
+    masks, open_rows, found = [0], fps, None
+    for level in range(3):
+        routed = _routed(open_rows, masks)
+        large = staged(routed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot), "hot-segments") if level < 2 else None
+        if large is None or large.isEmpty():
+            cold, open_rows = routed, None
+        else:
+            tagged = staged(join_groups(routed, large, ["key"], "left"), "segments")
+            cold = tagged.where("n is null").select("key", "mask", "fp")
+            open_rows = tagged.where("n is not null").select("fp", F.col("mask").alias("within"))
+            masks = [m for of in masks for m in split(of)]
+        part = cold.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_join_groups_of(BITS), "a long, b long")
+        found = part if found is None else found.union(part)
+        if open_rows is None:
+            return found
 
 
 def simhash_components(marked: DataFrame) -> DataFrame:
@@ -207,16 +241,6 @@ def simhash_components(marked: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp")
 
 
-def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay: of each group of linked documents the one with the smallest id
-    (null ids last; of repeated rows one). Null and empty texts share fingerprint zero. All columns,
-    whatever their names, come back unchanged; an empty table stays empty."""
-    text_batches(df.sparkSession)
-    whole = staged(df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"), F.monotonically_increasing_id().alias("rid")), "simhash")
-    stays = simhash_components(whole.select("id", "rid", "fp")).where(F.col("rid") == F.col("keep.rid")).select("rid")
-    return whole.join(stays, "rid", "left_semi").select("row.*")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: fingerprint and component of every row of ``documents``."""
     text_batches(spark)

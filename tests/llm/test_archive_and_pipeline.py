@@ -167,7 +167,8 @@ def test_pipeline(spark, sf):
 
 def test_pipeline_against_brute_force(spark, sf):
     """The stages after the model's scores, in plain Python."""
-    from test_dedup_ops import brute_fingerprint, brute_lines, roots
+    from test_dedup_ops import brute_lines
+    from test_near_dedup import brute_near
     from tokenizers import Tokenizer
 
     from quillon.llm.bpe import default_tokenizer
@@ -176,12 +177,8 @@ def test_pipeline_against_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     scored = toxicity(docs, contract_model(docs, spark, sf), spans=False).collect()
     rows = brute_lines([(r.doc_id, r.text) for r in scored if r.toxicity.score < 0.5])
-    fp = [brute_fingerprint(t) for _, t in rows]
-    label = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 2])
-    smallest = {}
-    for (i, _), g in zip(rows, label, strict=True):
-        smallest[g] = min(smallest.get(g, i), i)
-    rows = [(i, t) for (i, t), g in zip(rows, label, strict=True) if smallest[g] == i]
+    stays = set(brute_near(rows))
+    rows = [(i, t) for i, t in rows if i in stays]
     block = decontaminate.Block([(r.item_id, r.text) for r in table(spark, sf, "benchmark").collect()])
     rows = [(i, t) for i, t in rows if not block.hits(t)]
     library = Tokenizer.from_file(default_tokenizer())

@@ -11,6 +11,7 @@ import xxhash
 from quillon.llm import simhash, suffix_dedup
 from quillon.llm.components import components
 from quillon.llm.line_dedup import line_dedup
+from quillon.llm.near_dedup import simhash_dedup
 from quillon.session import table
 
 
@@ -103,10 +104,10 @@ def test_simhash_query(spark, sf):
 def test_simhash_dedup_edges(spark):
     rows = [(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (8, None), (7, ""), (9, "another text of its own here")]
     df = docs(spark, rows).withColumnsRenamed({"lang": "fp", "source": "rid"})
-    out = simhash.simhash_dedup(df)
+    out = simhash_dedup(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [3, 7, 9]
-    assert simhash.simhash_dedup(df.limit(0)).count() == 0
+    assert simhash_dedup(df.limit(0)).count() == 0
 
 
 def within_one(a, b):

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from test_dedup_ops import docs, roots
 
@@ -40,11 +41,34 @@ def corpus(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("leaders", [0, 1, 3])
-def test_near_dedup_against_brute_force(spark, monkeypatch, leaders):
-    monkeypatch.setattr(near_dedup, "LEADERS", leaders)
-    rows = corpus(leaders)
-    assert sorted(r.doc_id for r in near_dedup.near_dedup(docs(spark, rows)).collect()) == brute_near(rows)
+@pytest.mark.parametrize("hot", [2, 8, 2048])
+def test_near_dedup_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    rows = corpus(hot)
+    assert sorted(r.doc_id for r in near_dedup.simhash_dedup(docs(spark, rows)).collect()) == brute_near(rows)
+
+
+def test_fingerprint_of_a_set():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 255, 256, 4081, 9000):
+        h = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        spread = np.stack([near_dedup._mixed(h, by) for by in near_dedup._SPREAD])
+        want = [sum(1 << b for b in range(64) if 2 * int(((w >> np.uint64(b)) & np.uint64(1)).sum()) > len(h)) for w in spread]
+        assert near_dedup.fingerprint(h).tolist() == want
+
+
+def test_bound_and_samples_hold_pairs_at_the_share():
+    """Sets at a similarity of 0.8: within the bound, and rarely missed by all samples."""
+    rng = np.random.default_rng(5)
+    bits, width, samples = near_dedup.sampling(10_000, 0.8)
+    masks = np.array(near_dedup._masks(width, samples)).view(np.uint64)
+    missed = 0
+    for _ in range(200):
+        h = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+        a, b = near_dedup.fingerprint(h[:180]), near_dedup.fingerprint(h[20:])
+        differ = a ^ b
+        missed += int(np.bitwise_count(differ).sum()) > bits or not (((differ & masks) == 0).all(axis=1)).any()
+    assert missed <= 4
 
 
 def test_pipeline_drops_copies_at_a_similarity_of_08(spark, sf):
@@ -63,7 +87,7 @@ def test_pipeline_drops_copies_at_a_similarity_of_08(spark, sf):
 def test_near_dedup_edges(spark):
     rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "A b c d e f"), (None, "a b c d e f"), (8, None), (7, ""), (9, "another text of its own here")]
     df = docs(spark, rows).withColumnsRenamed({"lang": "h", "source": "rid"})
-    out = near_dedup.near_dedup(df)
+    out = near_dedup.simhash_dedup(df)
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [3, 7, 9]
-    assert near_dedup.near_dedup(df.limit(0)).count() == 0
+    assert near_dedup.simhash_dedup(df.limit(0)).count() == 0

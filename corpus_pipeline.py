@@ -16,7 +16,7 @@ from quillon.llm.bpe import default_tokenizer, encode_decode
 from quillon.llm.common import shared_dir, sweep
 from quillon.llm.decontaminate import find_leaks
 from quillon.llm.line_dedup import line_dedup
-from quillon.llm.near_dedup import near_dedup
+from quillon.llm.near_dedup import simhash_dedup
 from quillon.llm.toxicity import contract_model, toxicity
 from quillon.session import table
 
@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word shingle similarity of 0.8 the one with the smallest id stays."""
-    return near_dedup(docs)
+    """Of documents linked by a similarity of 0.8 of five-word shingles, found by SimHash, the one with the smallest id stays."""
+    return simhash_dedup(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_leaks),
     ("BPE encoding and decoding", encode),
 ]

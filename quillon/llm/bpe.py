@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -32,6 +33,8 @@ from quillon.session import table
 SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Entries of a worker's young cache; when it is full, it becomes the old one and the old one goes.
 CACHE = 120_000
+#: Fragments of more symbols are merged with a heap.
+LONG = 100
 
 
 def byte_symbols() -> list[str]:
@@ -97,6 +100,8 @@ class Bpe:
         parts, rank_of, none = list(text), self.merged.get, 1 << 30
         if last:
             parts[-1] += self.end
+        if len(parts) > LONG:
+            return self.long_fragment(parts)
         ranks = [rank_of(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks and (best := min(ranks)) != none:
             i = ranks.index(best)
@@ -108,6 +113,29 @@ class Bpe:
                 ranks[i] = rank_of((parts[i], parts[i + 1]), none)
         return [self.vocab[p] for p in parts if p in self.vocab]
 
+    def long_fragment(self, parts: list[str]) -> list[int]:
+        """The same merges for long fragments, in n log n: a heap of ranked pairs over linked neighbours. A pair that an
+        earlier merge has changed is known by its rank, which is no longer that of the symbols at its place."""
+        rank_of, n = self.merged.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if (r := rank_of(p)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not parts[i] or rank_of((parts[i], parts[j])) != rank:
+                continue
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of((parts[i], parts[k]))) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of((parts[h], parts[i]))) is not None:
+                heapq.heappush(heap, (r, h))
+        return [self.vocab[p] for p in parts if p in self.vocab]
+
     def cuts(self, symbols: str) -> list[str]:
         """The fragments between forced boundaries."""
         out, start = [], 0
@@ -119,7 +147,9 @@ class Bpe:
 
     @staticmethod
     def keep(caches: list[dict], key, value):
-        """Puts an entry into the young cache of a pair."""
+        """Puts an entry into the young cache of a pair, unless it is long: then a cache's size has a bound in bytes too."""
+        if len(value[0] if isinstance(value, tuple) else value) > 4 * LONG:
+            return value
         if len(caches[0]) >= CACHE:
             caches[:] = [{}, caches[0]]
         caches[0][key] = value
@@ -196,7 +226,8 @@ ROWS = 128
 def encode_decode(df: DataFrame, path: str, text_col: str = "text", fields: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """Adds the named fields of every row's encoding (n_tokens, ids, decoded, ids_sha256,
     decoded_sha256; columns of these names are replaced). Null and empty texts have no tokens and
-    decode to the empty text. Rows are independent, so repeated rows, null ids and columns of any
+    decode to the empty text. Very long texts and words are encoded whole, in time that grows with
+    their length (words: n log n). Rows are independent, so repeated rows, null ids and columns of any
     other name pass through; an empty table stays empty."""
     text_batches(df.sparkSession)
     kept = df.drop(*fields) if text_col not in fields else df

@@ -146,3 +146,11 @@ def test_bpe_edges(spark):
     out = encode_decode(df, default_tokenizer()).collect()
     assert [r.ids for r in out[:2]] == [[], []] and out[0].decoded == "" and out[2].ids == out[4].ids != []
     assert encode_decode(df.limit(0), default_tokenizer()).count() == 0
+
+
+def test_bpe_long_words(pair):
+    """Fragments on either side of the bound where merging changes its form, and a very long word."""
+    rng = np.random.default_rng(8)
+    for n in (99, 100, 101, 102, 350, 30_000):
+        for letters in ("ab", "acgt", "etaoinshrdlu"):
+            same(pair, "".join(rng.choice(list(letters), n)))

@@ -1,7 +1,9 @@
 """Line deduplication by a deletion-neighbourhood join.
 
-A line goes if an earlier one (by document, then place) equals it or is within one edit of it: one
-character inserted, deleted or replaced. Lines are first reduced to distinct ones with their
+A line goes if an earlier one (by document, then place) equals it or, from ``MIN_CHARS`` characters on,
+is within one edit of it: one character inserted, deleted or replaced. (In a shorter line one edit
+makes another word or number, so no edit is allowed; empty lines only part paragraphs and stay.)
+Lines are known by two independent 64-bit hashes and are first reduced to distinct ones with their
 earliest place. Two lines within one edit of each other share either their first or their last half,
 so lines none of whose halves recur are set aside, by two rounds of hashed keys (short ends first,
 then exact halves with the length). The others emit every variant with one character deleted as a
@@ -24,26 +26,28 @@ from pyspark.sql import functions as F
 from quillon.llm.common import flag_members, join_counted, join_groups, staged, with_row_id
 from quillon.session import table
 
-#: Shorter lines (in characters) are left alone. At least twice the shorter end of _ends.
+#: Shorter lines (in characters) only go if they are equal to an earlier one. At least twice the shorter end of _ends.
 MIN_CHARS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _places(docs: DataFrame, text_col: str, id_col: str, min_chars: int) -> DataFrame:
-    """(h, h2, line, at) of every line that takes part; at orders lines by document and place."""
+def _places(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(h, h2, line, at) of every line but empty ones; at orders lines by document and place. Spark's hash of several
+    columns takes the first one's hash as the next one's seed, so the constant of h2 comes before the line."""
     lines = docs.select(F.col(id_col).alias("id"), "__rid", F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
     at = F.struct(F.col("id").isNull().alias("nil"), "id", F.col("__rid").alias("rid"), "pos")
-    return lines.where(F.length("line") >= min_chars).select(F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"), "line", at.alias("at"))
+    return lines.where("line <> ''").select(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), "line", at.alias("at"))
 
 
-def _ends(line: Column) -> Column:
-    """Hashes of a line's ends. Lines within one edit share one: each end is at most half a line."""
+def _ends(line: Column, min_chars: int) -> Column:
+    """Hashes of a line's ends, none of a line too short for an edit. Lines within one edit share one: each end is at
+    most half a line."""
     n = F.length(line)
     ends = []
     for k, takes in ((10, n <= 65), (32, n >= 65)):
         ends += [F.when(takes, F.xxhash64(F.lit(f"{side}{k}"), cut(line, F.lit(k)))) for side, cut in (("l", F.left), ("r", F.right))]
-    return F.array(*ends)
+    return F.when(n >= min_chars, F.array(*ends))
 
 
 def _halves(line: Column) -> Column:
@@ -83,24 +87,25 @@ VARIANTS = 1 << 16
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, int, int]] = []
+    held: list[tuple[np.ndarray, int, int, int]] = []
     n = 0
 
     def flush() -> pa.RecordBatch:
-        sizes = [len(k) for k, _, _ in held]
-        roles = np.concatenate([np.repeat([0, 1, 2], [size // 2, size // 2, 1]) for size in sizes])
-        out = [np.concatenate([k for k, _, _ in held]).view(np.int64), roles.astype(np.int8), np.repeat([h for _, h, _ in held], sizes), np.repeat([h2 for _, _, h2 in held], sizes)]
+        sizes = [len(k) for k, _, _, _ in held]
+        out = [np.concatenate([k for k, _, _, _ in held]).view(np.int64), *(np.repeat([x[c] for x in held], sizes) for c in (1, 2, 3))]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["k", "role", "h", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int8)), pa.array(out[2]), pa.array(out[3])], names=["k", "role", "h", "h2"])
 
     for batch in batches:
         for h, h2, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             placed, gone, whole = deletion_keys(line)
-            held.append((np.concatenate((placed, gone, [whole])), h, h2))
-            n += 2 * len(gone) + 1
-            if n >= VARIANTS:
-                yield flush()
-                n = 0
+            for role, keys in ((0, placed), (1, gone), (2, np.array([whole]))):
+                for lo in range(0, len(keys), VARIANTS):  # a long line's in pieces
+                    held.append((keys[lo : lo + VARIANTS], role, h, h2))
+                    n += len(held[-1][0])
+                    if n >= VARIANTS:
+                        yield flush()
+                        n = 0
     if held:
         yield flush()
 
@@ -131,9 +136,9 @@ def near_lines(distinct: DataFrame, texts) -> DataFrame:
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
     """(rid, gone): the places of the lines that go, for every document (__rid) that loses any."""
-    places = _places(docs, text_col, id_col, min_chars)
+    places = _places(docs, text_col, id_col)
     distinct = staged(
-        places.select("h", "h2", "at", _ends(F.col("line")).alias("keys")).groupBy("h", "h2")
+        places.select("h", "h2", "at", _ends(F.col("line"), min_chars).alias("keys")).groupBy("h", "h2")
         .agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")),
         "distinct-lines",
     )
@@ -154,7 +159,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     they exist; ``count_col``, if given, gets the new text's length instead of both).
 
     Documents are ordered by id, null ids last; rows with the same id by place in the input. Lines
-    under ``min_chars`` characters stay. A null text stays null, an empty one has one empty line; a
+    under ``min_chars`` characters go only if an earlier one is equal, empty ones stay. A null text stays null, an empty one has one empty line; a
     document may lose all its lines and then has an empty text. An empty table stays empty.
     """
     docs = with_row_id(df)
@@ -179,9 +184,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
-c AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS place FROM l WHERE length(line) >= {MIN_CHARS}),
+c AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS place FROM l WHERE line <> ''),
 d AS (SELECT line, min(place) AS first FROM c GROUP BY line),
-e AS (SELECT *, left(line, 10) AS k, 'l' AS side FROM d UNION ALL SELECT *, right(line, 10), 'r' FROM d),
+f AS (SELECT * FROM d WHERE length(line) >= {MIN_CHARS}),
+e AS (SELECT *, left(line, 10) AS k, 'l' AS side FROM f UNION ALL SELECT *, right(line, 10), 'r' FROM f),
 p AS (SELECT DISTINCT a.line AS line, b.line AS earlier FROM e a JOIN e b ON a.k = b.k AND a.side = b.side
       WHERE b.first < a.first AND abs(length(a.line) - length(b.line)) <= 1),
 near AS (SELECT DISTINCT line FROM p WHERE

@@ -129,8 +129,8 @@ def brute_lines(rows, least=20):
     for k in order:
         lines = []
         for line in (rows[k][1] or "").split("\n"):
-            if len(line) >= least:
-                gone = any(within_one(line, x) for x in seen)
+            if line:
+                gone = line in seen or len(line) >= least and any(len(x) >= least and within_one(line, x) for x in seen)
                 seen.append(line)
                 if gone:
                     continue
@@ -149,7 +149,7 @@ def test_line_dedup_against_brute_force(spark):
         i = rng.randrange(len(line))
         return rng.choice([line, line, line[:i] + line[i + 1 :], line[:i] + "x" + line[i:], line[:i] + "y" + line[i + 1 :], line[:i] + "yx" + line[i + 1 :]])
 
-    rows = [(i, "\n".join(rng.choice([edited(rng.choice(base)), "short", ""]) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
+    rows = [(i, "\n".join(rng.choice([edited(rng.choice(base)), "short", "shirt", "", "x" * 19, "x" * 20]) for _ in range(rng.randrange(1, 6)))) for i in range(80)]
     out = {r.doc_id: r.text for r in line_dedup(docs(spark, rows)).collect()}
     assert out == dict(brute_lines(rows))
 
@@ -165,6 +165,30 @@ def test_line_dedup_edges(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_hashes_are_independent(spark):
+    """The second hash isn't a function of the first: its seed is a constant's hash."""
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(F.xxhash64(F.lit(1), F.lit("a line")).alias("h2"), F.xxhash64(F.lit("a line")).alias("h")).first()
+    seed = spark.range(1).select(F.xxhash64(F.lit(1)).alias("s")).first().s
+    assert got.h2 == np.int64(np.uint64(xxhash.xxh64_intdigest("a line", seed & (1 << 64) - 1)).view(np.int64)) and got.h != got.h2
+
+
+def test_variants_of_a_long_line_come_in_pieces():
+    import pyarrow as pa
+
+    from quillon.llm.line_dedup import VARIANTS, _variants, deletion_keys
+
+    line = "".join(random.Random(6).choice("abcdef") for _ in range(200_000))
+    batch = pa.RecordBatch.from_pydict({"h": pa.array([1], pa.int64()), "h2": pa.array([2], pa.int64()), "line": [line]})
+    out = list(_variants(iter([batch])))
+    assert max(b.num_rows for b in out) <= 2 * VARIANTS
+    placed, gone, whole = deletion_keys(line)
+    for role, want in ((0, placed), (1, gone), (2, [whole])):
+        got = [k for b in out for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if r == role]
+        assert np.array(got, np.int64).tolist() == np.array(want, np.uint64).view(np.int64).tolist()
+
+
 def brute_spans(texts, length):
     starts = defaultdict(int)
     data = [(t or "").encode() for t in texts]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,8 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-#: Folders of staged tables that this process has written, for ``sweep``.
-_STAGED: list[str] = []
+#: Folders of the tables staged within the innermost ``staging`` of this thread or task.
+_OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned", default=None)
 #: Removes an execution's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,7 +55,8 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     shuffle files go when it is done."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    if (owned := _OWNED.get()) is not None:
+        owned.append(path)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -62,7 +66,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
@@ -71,13 +75,20 @@ def _delete(spark: SparkSession, path: str) -> None:
 def discard(df: DataFrame) -> None:
     """Deletes the files of a staged table that nothing reads any more."""
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, parent)
+        delete(df.sparkSession, parent)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes every staged table of this process: for when the results that read them are written."""
-    while _STAGED:
-        _delete(spark, _STAGED.pop())
+@contextlib.contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owns the tables that are staged inside and deletes them at its end: for callers that write or collect what
+    they compute before they leave. Tables staged elsewhere, which other results may still read, stay."""
+    token = _OWNED.set([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.get():
+            delete(spark, path)
+        _OWNED.reset(token)
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -9,34 +9,44 @@ item and a diagonal; along it the whole overlap is compared token by token, and
 Short items are cut into one piece more than they may have mismatches, so one piece at least is whole in
 every leak; the pieces are their seeds.
 
-The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items, each broadcast and
-run against all documents, so the broadcast is bounded however long the benchmark is. Documents are
-never shuffled, and common passages cost no more than their own length.
+The benchmark is the query set: it is taken in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
+characters, each broadcast and run against all documents. More blocks than one are run one after the
+other, each pass writing only the rows it hits, so one block at a time is held however long the
+benchmark is. Documents are never shuffled.
+
+Seeds that repeat within an item and a text (one word over and over) hit many places of the same few
+diagonals; diagonals are marked, not listed by hit, and each is compared once.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_batches
+from quillon.llm.common import staged, text_batches, with_row_id
 from quillon.session import table
 
 WORD = re.compile(r"[^\W_]+")
 #: The seed masks (1: the token counts, 0: it is ignored).
 MASKS = ("11011011", "110111011", "110111101", "1110110111", "10110111", "11101101011")
 BLOCK_ITEMS = 20_000
+BLOCK_CHARS = 32 << 20
+#: Seed hits of a text that are sorted out together, and the most diagonals that are marked in one array.
+HITS = 1 << 20
+MARKS = 1 << 28
 #: Tokens that must match (MIN_SHARE of an item's, if that is fewer), and their least share of the segment.
 MIN_MATCHES = 13
 MIN_SHARE = 0.8
 MISMATCH = -2
-#: Items under this many tokens are no evidence of a leak and aren't searched.
+#: Items under this many tokens are no evidence of a leak within a text; they are found where they are the whole text.
 MIN_ITEM = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F], np.uint64)
 
@@ -85,6 +95,11 @@ class Block:
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in items]
         self.tokens = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)], np.int32) for _, t in items]
+        self.longest = max(map(len, self.tokens), default=0)
+        self.whole: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            if 0 < len(words := tuple(tokens(t))) < MIN_ITEM:
+                self.whole.setdefault(words, []).append(int(i))
         self.seeds = []
         short = [pieces(len(t)) for t in self.tokens]
         widths = sorted({w for p in short for _, w in p})
@@ -103,21 +118,43 @@ class Block:
 
     def hits(self, text: str | None) -> list[dict]:
         """The items that a text holds, each with its best segment: words from ``start``, ``length``, matches."""
-        lookup = self.vocabulary.get
-        ids = np.array([lookup(w, 0) for w in tokens(text)], np.int32)
-        lines: set[tuple[int, int]] = set()
-        for mask, table_h, item, at in self.seeds:
-            start, h = seed_hashes(ids, mask)
-            low, high = np.searchsorted(table_h, h, "left"), np.searchsorted(table_h, h, "right")
-            some = np.flatnonzero(high > low)
-            for s, lo, hi in zip(start[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True):
-                lines.update(zip(item[lo:hi].tolist(), (s - at[lo:hi]).tolist(), strict=True))
+        words, lookup = tokens(text), self.vocabulary.get
+        if len(words) < MIN_ITEM:
+            return [{"item_id": i, "start": 0, "length": len(words), "matches": len(words)} for i in self.whole.get(tuple(words), ())]
+        ids = np.array([lookup(w, 0) for w in words], np.int32)
+        span = len(ids) + self.longest + 1
         best: dict[int, dict] = {}
-        for k, offset in sorted(lines):
+        for code in self.diagonals(ids, span).tolist():
+            k, offset = code // span, code % span - self.longest
             if (found := self.segment(ids, k, offset) or self.inner(ids, k, offset)) and found["matches"] > best.get(k, {"matches": 0})["matches"]:
                 best[k] = found
         return list(best.values())
 
+    def diagonals(self, ids: np.ndarray, span: int) -> np.ndarray:
+        """The items and diagonals that any seed hits, sorted, as item * span + offset + longest."""
+        codes, marks = np.empty(0, np.int64), None
+        for mask, table_h, item, at in self.seeds:
+            start, h = seed_hashes(ids, mask)
+            low, high = np.searchsorted(table_h, h, "left"), np.searchsorted(table_h, h, "right")
+            some = np.flatnonzero(high > low)
+            start, low, n = start[some], low[some], (high - low)[some]
+            ends = np.cumsum(n)
+            lo = 0
+            while lo < len(n):
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HITS, "right")))
+                count = n[lo:hi]
+                first = np.cumsum(count) - count
+                hit = np.repeat(low[lo:hi] - first, count) + np.arange(int(count.sum()))
+                found = item[hit] * span + np.repeat(start[lo:hi], count) - at[hit] + self.longest
+                lo = hi
+                if marks is None and (len(found) < HITS // 2 or len(self.tokens) * span > MARKS):
+                    codes = np.unique(np.concatenate((codes, found)))
+                    continue
+                if marks is None:
+                    marks = np.zeros(len(self.tokens) * span, bool)
+                marks[found] = True
+        return codes if marks is None else np.union1d(codes, np.flatnonzero(marks))
+
     def segment(self, ids: np.ndarray, k: int, offset: int) -> dict | None:
         """The best local segment (of equal ones the longest) of item k laid at ``offset`` of the text, if it is a leak."""
         item = self.tokens[k]
@@ -158,12 +195,14 @@ class Block:
 def benchmark_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
     """The benchmark's items in blocks, read through a local iterator; null ids and texts are skipped."""
     part: list[tuple[int, str]] = []
+    chars = 0
     rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     for r in rows.toLocalIterator():
-        part.append((r["i"], r["t"]))
-        if len(part) == BLOCK_ITEMS:
+        if part and (len(part) == BLOCK_ITEMS or chars + len(r["t"]) > BLOCK_CHARS):
             yield Block(part)
-            part = []
+            part, chars = [], 0
+        part.append((r["i"], r["t"]))
+        chars += len(r["t"])
     if part:
         yield Block(part)
 
@@ -171,8 +210,8 @@ def benchmark_blocks(items: DataFrame, id_col: str = "item_id", text_col: str =
 _LEAKS = "array<struct<item_id:long,start:int,length:int,matches:int>>"
 
 
-def _search(spark: SparkSession, block: Block):
-    held = spark.sparkContext.broadcast(block)
+def _search(held: Broadcast):
+    """The leaks of a broadcast block in a column of texts."""
 
     @F.pandas_udf(_LEAKS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -184,14 +223,28 @@ def _search(spark: SparkSession, block: Block):
 
 def find_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", out: str = "leaks") -> DataFrame:
     """Adds an array column ``out`` (replaced if it exists) to every row: item_id, start (word), length
-    and matches of every benchmark item that the whole text holds, in item order. Null and empty
-    texts hold none, an empty benchmark finds none. Rows are independent: repeated rows, null ids
-    and columns of any name pass through."""
-    text_batches(df.sparkSession)
-    found = F.array().cast(_LEAKS)
-    for block in benchmark_blocks(items):
-        found = F.concat(found, _search(df.sparkSession, block)(F.col(text_col)))
-    return df.withColumn(out, F.array_sort(found))
+    and matches of every benchmark item that the whole text holds, in item order. Of equally good places
+    of an item the first is given. Null and empty texts hold none, an empty benchmark finds none. Rows are
+    independent: repeated rows, null ids and columns of any name pass through. A repeated item is found
+    as often as it is given. Items without a word can't be found, those of one to three words only as a
+    whole text. Very long texts are searched whole."""
+    spark = df.sparkSession
+    text_batches(spark)
+    blocks = benchmark_blocks(items)
+    block, more = next(blocks, None), next(blocks, None)
+    if block is None:
+        return df.withColumn(out, F.array().cast(_LEAKS))
+    if more is None:
+        return df.withColumn(out, F.array_sort(_search(spark.sparkContext.broadcast(block))(F.col(text_col))))
+    rows, found = with_row_id(df), None
+    for part in itertools.chain((block, more), blocks):
+        held = spark.sparkContext.broadcast(part)
+        some = staged(rows.select(F.col("__rid").alias("rid"), _search(held)(F.col(text_col)).alias("found")).where(F.size("found") > 0), "leaks")
+        held.destroy()
+        found = some if found is None else found.union(some)
+    found = found.groupBy("rid").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("__found"))
+    joined = rows.join(found, rows["__rid"] == found["rid"], "left").withColumn(out, F.coalesce("__found", F.array().cast(_LEAKS)))
+    return joined.select(*df.columns, *[out] * (out not in df.columns))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """License scan and exact dedup: edge cases and brute force."""
 
 import hashlib
+import os
 import re
 import string
 from collections import defaultdict
@@ -91,3 +92,15 @@ def test_exact_dedup_empty_and_clashes(spark):
     assert sorted(exact_dedup(df).columns) == ["doc_id", "group_size", "keep_id", "kept", "text_sha256"]
     assert exact_dedup(df).where("kept").count() == 1
     assert exact_dedup(df.limit(0)).count() == 0
+
+
+def test_staging_deletes_its_own_tables_only(spark):
+    from quillon.llm.common import staged, staging
+
+    kept = staged(spark.range(5), "kept")
+    with staging(spark):
+        inner = staged(spark.range(7), "inner")
+        assert inner.count() == 7
+        files = inner.inputFiles()
+    assert kept.count() == 5
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import default_tokenizer, encode_decode
-from quillon.llm.common import shared_dir, sweep
+from quillon.llm.common import delete, shared_dir, staging
 from quillon.llm.decontaminate import find_leaks
 from quillon.llm.line_dedup import line_dedup
 from quillon.llm.near_dedup import simhash_dedup
@@ -64,7 +64,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/quillon/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        sweep(spark)
+        with staging(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -93,7 +93,11 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(toxic[:5, 0], [sum(p for s, p in paths.items() if s[t]) / z for t in range(5)])
     assert np.allclose(expected, [[sum(p * sum((x, y) == (a, b) for x, y in zip(s, s[1:], strict=False)) for s, p in paths.items()) / z for b in (0, 1)] for a in (0, 1)])
     chain = toxicity.Chain({}, np.zeros(0), np.zeros(8), start, move, (1.0, 0.0))
-    assert np.isclose(chain.clean(list(e)), np.log(paths[(0,) * 5] / z))
+    many = [list(e), [], list(e[:1]), *([list(e)] * 40)]
+    got = chain.marginals(many)
+    assert [len(p) for p in got] == [len(c) for c in many]
+    assert np.allclose(got[0], toxic[:5, 0]) and np.allclose(got[-1], toxic[:5, 0]) and np.allclose(got[2], toxic[:1, 1])
+    assert np.isclose(toxicity.odds(got[0]), np.log(1 / np.prod(1 - toxic[:5, 0]) - 1))
 
 
 @pytest.fixture(scope="module")

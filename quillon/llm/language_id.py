@@ -3,8 +3,8 @@
 Texts are lower-cased, every run of non-letters becomes one space, and the n-grams of one to three
 characters are hashed into a fixed number of buckets. Training counts (language, bucket) pairs on the
 executors; what reaches the driver is the count matrix, at most languages x buckets cells. Its log
-probabilities are broadcast, and a batch is scored sparsely: each text's distinct buckets and their
-counts against the matrix's columns.
+probabilities are broadcast, and a batch is scored as one sparse product: the (text, bucket, count)
+cells of its texts against the matrix's rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ BUCKET_BITS = 15
 MAX_TRAIN_ROWS = 40_000
 #: Most languages; more are refused, so the matrix that is collected and broadcast has a known bound.
 MAX_LANGUAGES = 500
+#: Texts and n-grams that one product takes together (one text may have more), and cells of the matrix it picks.
+BATCH_TEXTS = 64
+BATCH_GRAMS = 1 << 19
+BATCH_CELLS = 1 << 21
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -40,7 +44,8 @@ def gram_buckets(text: str | None) -> np.ndarray:
     if not letter.any():
         return np.empty(0, np.int64)
     codes = np.where(letter, codes, np.uint32(32))
-    codes = np.concatenate(([np.uint32(32)], codes[letter | np.roll(letter, 1)], [np.uint32(32)])).astype(np.uint32)
+    kept = codes[letter | np.concatenate(([False], letter[:-1]))]
+    codes = np.concatenate(([np.uint32(32)], kept, np.full(int(letter[-1]), 32, np.uint32))).astype(np.uint32)
     h = codes * _MULTIPLIERS[0]
     two = (h[:-1] ^ (codes[1:] * _MULTIPLIERS[1])) * _MULTIPLIERS[2] + np.uint32(1)
     three = (two[:-1] ^ (codes[2:] * _MULTIPLIERS[0])) * _MULTIPLIERS[1] + np.uint32(2)
@@ -58,7 +63,7 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MA
     if id_col is not None:
         n = labelled.select(label_col).count()
         if n > max_rows:
-            labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(1 << 20)) < int(max_rows / n * (1 << 20)))
+            labelled = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(n)) < max_rows)
 
     if labelled.select(F.col(label_col).cast("string").alias("lang")).distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -93,10 +98,28 @@ def train(labelled: DataFrame, text_col: str, label_col: str, max_rows: int = MA
     return langs, np.log(counts / counts.sum(axis=0)), np.log(priors / priors.sum())
 
 
+def joints(grams: list[np.ndarray], model) -> np.ndarray:
+    """The log joint probabilities [text, language] of texts with at least one n-gram: a sparse matrix of counts, by
+    rows, times the log probabilities."""
+    _, logs, priors = model
+    codes = np.concatenate([g + (i << BUCKET_BITS) for i, g in enumerate(grams)])
+    counts = np.bincount(codes, minlength=len(grams) << BUCKET_BITS)
+    cells = np.flatnonzero(counts)
+    row, bucket, counts = cells >> BUCKET_BITS, cells & ((1 << BUCKET_BITS) - 1), counts[cells]
+    out = np.tile(priors, (len(grams), 1))
+    step = max(1, BATCH_CELLS // len(priors))
+    for lo in range(0, len(cells), step):
+        own = row[lo : lo + step]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        out[own[first]] += np.add.reduceat(counts[lo : lo + step, None] * logs[bucket[lo : lo + step]], first, axis=0)
+    return out
+
+
 def predict(df: DataFrame, model, text_col: str = "text", out: str = "language") -> DataFrame:
     """Adds a struct column ``out`` (lang, score; replaced if it exists) to every row: the likeliest
     learned language and its posterior probability; ``und`` and 0 if the text is null or has no
-    letter, or nothing was learned. Ties go to the language that sorts first."""
+    letter, or nothing was learned. Ties go to the language that sorts first. Whole texts are scored,
+    very long ones too; rows are independent, so repeated rows, null ids and columns of any name pass through."""
     text_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
@@ -104,21 +127,20 @@ def predict(df: DataFrame, model, text_col: str = "text", out: str = "language")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
         for texts in batches:
-            done = []
-            for text in texts:
-                grams = gram_buckets(text)
-                if model is None or not len(grams):
-                    done.append(("und", 0.0))
-                    continue
-                langs, logs, priors = model
-                if len(grams) < 20_000:
-                    joint = priors + logs[grams].sum(axis=0)
-                else:
-                    counts = np.bincount(grams, minlength=1 << BUCKET_BITS)
-                    at = np.flatnonzero(counts)
-                    joint = priors + counts[at] @ logs[at]
-                best = int(joint.argmax())
-                done.append((langs[best], float(1 / np.exp(joint - joint[best]).sum())))
+            done = [("und", 0.0)] * len(texts)
+            rows: list[int] = []
+            grams: list[np.ndarray] = []
+            for i, text in enumerate([*texts, None]):
+                found = gram_buckets(text) if model is not None else ()
+                full = len(rows) == BATCH_TEXTS or sum(map(len, grams)) + len(found) > BATCH_GRAMS
+                if rows and (full or i == len(texts)):
+                    for row, joint in zip(rows, joints(grams, model), strict=True):
+                        best = int(joint.argmax())
+                        done[row] = (model[0][best], float(1 / np.exp(joint - joint[best]).sum()))
+                    rows, grams = [], []
+                if len(found):
+                    rows.append(i)
+                    grams.append(found)
             yield pd.DataFrame(done, columns=["lang", "score"])
 
     return df.withColumn(out, score(F.col(text_col)))

@@ -1,8 +1,11 @@
 """Language identification, toxicity and byte-pair encoding."""
 
+import collections
 import hashlib
 import itertools
+import math
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -58,6 +61,37 @@ def test_toxicity_held_out(spark, sf):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in out)
 
 
+def test_words_have_one_space_on_either_side():
+    """A text that starts with another character and ends with a letter has no stray gram."""
+    assert sorted(language_id.gram_buckets("- ab")) == sorted(language_id.gram_buckets("ab")) == sorted(language_id.gram_buckets("ab!"))
+
+
+@pytest.mark.parametrize("grams", [1, 1 << 19])
+def test_language_query_against_plain_counting(spark, sf, monkeypatch, grams):
+    monkeypatch.setattr(language_id, "BATCH_GRAMS", grams)
+    monkeypatch.setattr(language_id, "BATCH_CELLS", 1000 if grams == 1 else 1 << 21)
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").collect()
+    counts, priors = {}, collections.Counter()
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None:
+            priors[r.lang] += 1
+            counts.setdefault(r.lang, collections.Counter()).update(language_id.gram_buckets(r.text).tolist())
+    cells = 1 << language_id.BUCKET_BITS
+    out = {r.doc_id: r for r in language_id.op6_language_id(spark, sf).collect()}
+    for r in docs:
+        found = collections.Counter(language_id.gram_buckets(r.text).tolist())
+        if not found:
+            assert out[r.doc_id].lang_pred == "und" and out[r.doc_id].score == 0
+            continue
+        joint = {
+            lang: math.log(priors[lang] / sum(priors.values())) + sum(n * math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * cells)) for b, n in found.items())
+            for lang, c in counts.items()
+        }
+        best = max(sorted(joint), key=joint.get)
+        assert out[r.doc_id].lang_pred == best
+        assert math.isclose(out[r.doc_id].score, 1 / sum(math.exp(min(700, j - joint[best])) for j in joint.values()), rel_tol=1e-6)
+
+
 def tiny_chain():
     docs = [([(2, [0])], 8, 1), ([(0, [0])], 5, 1), ([(3, [1])], 9, 1)] * 12 + [([], 7, 0), ([], 30, 0), ([(4, [2])], 9, 0)] * 20
     return toxicity.fit(docs, {"=idiot": 0, "lowe": 1, "=okay": 2})

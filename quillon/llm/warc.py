@@ -1,15 +1,17 @@
 """WARC: a deterministic sharded writer and a reader.
 
-Page ids are cut into shards by an exact histogram of payload bytes, so a record's shard depends on
-the table alone. Each shard is sorted by page id and written by one task, which starts a new file
-when the compressed size reaches the limit; every record is its own gzip member. Headers and digests
-are made anew. Which records repeat a payload is found on digests alone (aggregated before the
-shuffle); it reaches the writer as marker rows that sort just before their record, so payloads are
-shuffled once.
-
-Tasks write under temporary names that no other attempt uses and report their files. The driver moves
-the reported files to their final names, then writes the manifest the same way; a reader takes files
-from the manifest only. Files left by lost attempts go with the temporary folder.
+Pages are laid out by id and digest; exact running sums of payload bytes over that order cut it into
+shards, so a record's shard depends on the table alone, whatever the ids look like. Each shard is sorted
+by page id and written by one task, which starts a new file when the compressed size reaches the limit;
+every record is its own gzip member. Headers and digests are made anew. Which records repeat a payload
+is found on digests alone (aggregated before the shuffle); it reaches the writer as marker rows that
+sort just before their record, so payloads are shuffled once.
+
+Tasks write under temporary names that no other attempt uses and report their files. A second job moves
+the reported files to their final names (a move that was already made counts as done, so its tasks may
+be repeated), then the driver writes the manifest the same way; a reader takes files from the manifest
+only. Files left by lost attempts go with the temporary folder. The driver holds a shard's first id and
+a line of the manifest for each GB of payload.
 
 Files are reached through pyarrow's file systems, by the folder's URI.
 """
@@ -17,6 +19,7 @@ Files are reached through pyarrow's file systems, by the folder's URI.
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import json
@@ -25,19 +28,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import join_groups, shared_dir, staged
+from quillon.llm.common import join_groups, shared_dir, staged, text_batches
 from quillon.session import table
 
-SHARD_BYTES = 256 << 20
-ROLL_BYTES = 128 << 20
+SHARD_BYTES = 1 << 30
+ROLL_BYTES = 1 << 30
 MIN_SHARDS = 32
-BINS_PER_SHARD = 16
+#: What a record weighs besides its payload.
+HEAD_BYTES = 500
 MIN_REVISIT_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
 # Fixed values of the WARC format.
@@ -124,21 +129,58 @@ def _writer(folder: str, roll_bytes: int, min_revisit: int):
     return run
 
 
-def shard_ranges(narrow: DataFrame, shard_bytes: int) -> tuple[Column, DataFrame, int]:
-    """(bin of page_id, table of bin and shard, shards): consecutive ranges of page ids of about
-    ``shard_bytes`` payload bytes. The table has BINS_PER_SHARD rows a shard at most, so it may be
-    broadcast. narrow: (page_id, n)."""
-    low, high, total = narrow.agg(F.min("page_id"), F.max("page_id"), F.sum("n")).first()
-    low, high, total = low or 0, high or 0, total or 0
+def _mover(folder: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for temp, name in zip(batch["temp"], batch["name"], strict=True):
+                if fs.get_file_info(f"{root}/{temp}").type == pafs.FileType.NotFound:
+                    if fs.get_file_info(f"{root}/{name}").type == pafs.FileType.NotFound:
+                        raise FileNotFoundError(f"{root}/{temp}")
+                else:
+                    fs.move(f"{root}/{temp}", f"{root}/{name}")
+            yield batch[["name"]]
+
+    return run
+
+
+def shard_starts(narrow: DataFrame, shard_bytes: int) -> list[tuple[int | None, str]]:
+    """The (page id, digest) at which each shard but the first starts, in order (null ids first): shards of about
+    ``shard_bytes``, one more than are returned. narrow: (page_id, sha, n)."""
+    order = [F.col("page_id").asc_nulls_first(), F.col("sha")]
+    laid = narrow.groupBy("page_id", "sha").agg(F.sum(F.col("n") + HEAD_BYTES).alias("n"))
+    laid = staged(laid.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "payload-order")
+    sums = sorted((r["part"], r["n"]) for r in laid.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sums:
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
     shards = max(MIN_SHARDS, -(-total // shard_bytes))
-    step = (high - low) // (shards * BINS_PER_SHARD) + 1
-    bin_of = F.floor((F.col("page_id") - F.lit(low)) / F.lit(step)).cast("long")
-    bins = sorted((r["bin"], r["n"]) for r in narrow.groupBy(bin_of.alias("bin")).agg(F.sum("n").alias("n")).where("bin is not null").collect())
-    assigned, so_far = [], 0
-    for b, n in bins:
-        assigned.append((b, min(shards - 1, so_far * shards // max(1, total))))
-        so_far += n
-    return bin_of, narrow.sparkSession.createDataFrame(assigned, "bin long, shard int"), shards
+    running = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(laid.sparkSession.createDataFrame(before, "part int, before long"))
+    at = laid.join(offsets, "part").withColumn("at", F.col("before") + F.coalesce(running, F.lit(0)))
+    shard = F.floor(F.col("at").cast("decimal(30,0)") * shards / total)
+    firsts = at.groupBy(shard.alias("shard")).agg(F.min(F.struct(F.col("page_id").isNotNull().alias("own"), "page_id", "sha")).alias("first"))
+    return [(r["first"]["page_id"], r["first"]["sha"]) for r in firsts.where("shard > 0").orderBy("shard").collect()]
+
+
+def shard_of(spark: SparkSession, starts: list[tuple[int | None, str]]):
+    """The shard of (page_id, sha), a binary search in the broadcast starts."""
+    least = -(1 << 63)
+    held = spark.sparkContext.broadcast((np.array([least if i is None else i for i, _ in starts], np.int64), [s for _, s in starts]))
+
+    @F.pandas_udf("int")
+    def run(page_id: pd.Series, sha: pd.Series) -> pd.Series:
+        ids, digests = held.value
+        of = page_id.to_numpy()
+        low, high = np.searchsorted(ids, of, "left"), np.searchsorted(ids, of, "right")
+        for k in np.flatnonzero(low < high):  # a shard starts within this id
+            low[k] = bisect.bisect_right(digests, sha.iloc[k], low[k], high[k])
+        return pd.Series(low.astype(np.int32))
+
+    return run(F.coalesce("page_id", F.lit(least)), F.col("sha"))
 
 
 def write_warc(
@@ -149,28 +191,32 @@ def write_warc(
 
     A null payload is empty. Of records with equal payloads of ``min_revisit_bytes`` or more the one
     with the smallest page id (null ids last) is a response, the others revisit it; of repeated rows
-    the first is. Other columns, whatever their names, are not read. An empty table leaves a manifest
-    without files.
+    the first is. Rows of one id are ordered by digest, then url. Very long payloads are records like
+    others. Other columns, whatever their names, are not read. An empty table leaves a manifest without
+    files.
     """
+    spark = pages.sparkSession
+    text_batches(spark)
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     narrow = staged(rows.select("page_id", F.sha1("payload").alias("sha"), F.octet_length("payload").alias("n")), "payloads")
     firsts = narrow.groupBy("sha").agg(F.min("page_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("copies")).where(F.col("copies") > 1)
     marks = join_groups(narrow, firsts, ["sha", "n"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", "first").distinct()
-    bin_of, ranges, shards = shard_ranges(narrow, shard_bytes)
+    starts = shard_starts(narrow, shard_bytes)
     tagged = rows.select("page_id", F.sha1("payload").alias("sha"), F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(
         marks.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
     )
     ordered = (
-        tagged.withColumn("bin", bin_of).join(F.broadcast(ranges), "bin", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
-        .select("shard", "page_id", "sha", "kind", "url", "payload", "first")
-        .repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
+        tagged.withColumn("shard", shard_of(spark, starts)).select("shard", "page_id", "sha", "kind", "url", "payload", "first")
+        .repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", "sha", "kind", "url")
     )
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     files = sorted((r.asDict() for r in ordered.mapInArrow(_writer(folder, roll_bytes, min_revisit_bytes), _MANIFEST).collect()), key=lambda f: f["name"])
+    if files:
+        moves = spark.createDataFrame([(f["temp"], f["name"]) for f in files], "temp string, name string").repartition(min(len(files), 1000))
+        moves.mapInPandas(_mover(folder), "name string").write.format("noop").mode("overwrite").save()
     for f in files:
-        fs.move(f"{root}/{f['temp']}", f"{root}/{f['name']}")
         del f["temp"]
     with fs.open_output_stream(f"{root}/_temporary/manifest.json") as out:
         out.write(json.dumps({"files": files}, indent=1).encode())

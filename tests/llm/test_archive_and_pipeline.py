@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -59,6 +60,29 @@ def test_warc_is_deterministic_whatever_the_partitions(spark, tmp_path):
     assert json.loads((tmp_path / "a" / "manifest.json").read_text())["files"] == one
 
 
+def test_warc_shards_of_skewed_ids(spark, tmp_path):
+    """One far id, many null and repeated ids: shards stay even, and no record is lost."""
+    rows = [(i, "u", f"{i} " * 300) for i in range(600)] + [(10**15, "u", "far")] + [(None, "u", f"nil {i} " * 100) for i in range(200)] + [(77, f"u{i}", f"same id {i} " * 100) for i in range(200)]
+    df = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS shard", "'x' AS sha", "2 AS n")
+    files = warc.write_warc(df, f"file://{tmp_path}/w", shard_bytes=20_000)
+    by_shard = {}
+    for f in files:
+        by_shard[f["shard"]] = by_shard.get(f["shard"], 0) + f["records"]
+    assert sum(by_shard.values()) == len(rows) and len(by_shard) > 30 and max(by_shard.values()) < 80
+    back = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    assert sorted(r.payload_digest for r in back) == sorted(digest(t) for _, _, t in rows)
+
+
+def test_warc_very_long_payload_and_repeated_moves(spark, tmp_path):
+    text = "long payload " * 400_000
+    files, out = written(spark, tmp_path / "w", [(1, "a", text), (2, "b", text), (3, "c", "x")])
+    assert {r.page_id: (r.record_type, r.payload_bytes) for r in out} == {1: ("response", len(text)), 2: ("revisit", len(text)), 3: ("response", 1)}
+    moved = pd.DataFrame({"temp": ["_temporary/gone"], "name": [files[0]["name"]]})
+    assert [list(b["name"]) for b in warc._mover(f"file://{tmp_path}/w")(iter([moved]))] == [[files[0]["name"]]]
+    with pytest.raises(FileNotFoundError):
+        list(warc._mover(f"file://{tmp_path}/w")(iter([moved.assign(name="never")])))
+
+
 def test_warc_members_are_standalone_and_checked(spark, tmp_path):
     files, _ = written(spark, tmp_path / "w", [(1, "a", "hello")])
     path = tmp_path / "w" / files[0]["name"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import functools
 import string
 import tempfile
 import uuid
@@ -49,10 +50,10 @@ _OWNED: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("owned
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+def staged(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, row ids made by
     ``monotonically_increasing_id`` stay fixed, and a lost executor costs nothing upstream. The write's
-    shuffle files go when it is done."""
+    shuffle files go when it is done. ``by`` lays the files out by a column's values."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{tag}-{uuid.uuid4().hex}"
     if (owned := _OWNED.get()) is not None:
@@ -60,7 +61,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -141,14 +142,21 @@ def bit_set(bits: Column, pos: Column) -> Column:
 
 def flag_members(rows: DataFrame, hashes: DataFrame, count: int, least: int = 1, out: str = "again", bits_per_row: int = 16, max_broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Adds a boolean ``out`` to rows (h): false only if fewer than ``least`` of ``hashes`` (h, about
-    ``count`` rows) equal the row's. The filter is broadcast while its size, known beforehand, is at
-    most ``max_broadcast_bytes``, and joined by block beyond that."""
+    ``count`` rows) equal the row's. Rows never shuffle: the filter is broadcast, and one of more than
+    ``max_broadcast_bytes`` goes in rounds, each with so many of its blocks and the rows that fall in them."""
     blocks = max(1, -(-count * bits_per_row // BLOCK_BITS))
     seen = blocked_filter(hashes, blocks, least)
-    if blocks * (BLOCK_BITS // 8) <= max_broadcast_bytes:
-        seen = F.broadcast(seen)
+    once = max(1, max_broadcast_bytes // (BLOCK_BITS // 8))
+    placed = rows.withColumn("block", F.pmod("h", F.lit(blocks)))
     first, second = filter_bits(F.col("h"))
-    return (
-        rows.withColumn("block", F.pmod("h", F.lit(blocks))).join(seen, "block", "left")
-        .withColumn(out, F.coalesce(bit_set(F.col("bits"), first) & bit_set(F.col("bits"), second), F.lit(False))).drop("bits", "block")
-    )
+
+    def tested(some: DataFrame, bits: DataFrame) -> DataFrame:
+        member = F.coalesce(bit_set(F.col("bits"), first) & bit_set(F.col("bits"), second), F.lit(False))
+        return some.join(F.broadcast(bits), "block", "left").withColumn(out, member).select(*rows.columns, *[out] * (out not in rows.columns))
+
+    if blocks <= once:
+        return tested(placed, seen)
+    turn = F.floor(F.col("block") / F.lit(once)).cast("int").alias("__round")
+    placed, seen = staged(placed.select("*", turn), "rounds", "__round"), staged(seen.select("*", turn), "filter", "__round")
+    done = [staged(tested(placed.where(F.col("__round") == k), seen.where(F.col("__round") == k).drop("__round")), "tested") for k in range(-(-blocks // once))]
+    return functools.reduce(DataFrame.unionByName, done)

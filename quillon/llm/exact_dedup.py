@@ -6,8 +6,8 @@ map-side combining; bits met twice or more form the filter's "again" plane, pack
 by the SQL bitmap aggregates. Pass 2 tests each row's two bits: both set means "possibly repeated".
 A false positive only sends a single row through the exact grouping, so results are exact.
 
-The filter takes ``bits_per_row`` bits a row. It is broadcast while it is at most
-``max_broadcast_bytes``; a larger one is joined by block instead.
+The filter takes ``bits_per_row`` bits a row and is broadcast, in rounds of ``max_broadcast_bytes`` if
+it is larger, each for the rows whose hashes fall in its blocks: rows pass straight through at any size.
 """
 
 from __future__ import annotations

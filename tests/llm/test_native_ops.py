@@ -81,10 +81,11 @@ def test_exact_dedup(spark, bits):
     assert set(kept.values()) == {1}
 
 
-def test_exact_dedup_by_shuffled_filter(spark):
-    rows = [(i, f"text {i % 30}") for i in range(100)]
+def test_exact_dedup_in_rounds(spark):
+    """A filter of three blocks, one block at a time."""
+    rows = [(i, f"text {i % 4000}") for i in range(5000)]
     out = exact_dedup(docs(spark, rows), max_broadcast_bytes=0).collect()
-    assert sum(r.kept for r in out) == 30 and len(out) == 100
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in out) == [(i, max(i % 4000, 4000 + i % 4000 if i % 4000 < 1000 else 0), 2 if i % 4000 < 1000 else 1) for i in range(5000)]
 
 
 def test_exact_dedup_empty_and_clashes(spark):

@@ -4,8 +4,8 @@ A text is cut into blocks of ``width`` words that start every ``stride`` words,
 template-long passage lies whole in the block that owns its first word. A block's tokens that occur
 in some template are put in the global order (rarest in the corpus first; the counts come from all
 rows). A block joins a template when it contains at least ``alpha`` of the template's distinct
-tokens. Candidates must share a token with the template's prefix (its rarest size - alpha + 1
-tokens), hold alpha tokens at all (length filter), and have enough tokens left behind the shared one
+tokens. Candidates share a token with the template's prefix (its rarest size - alpha + 1
+tokens): an index from prefix tokens to templates gives each block the templates to try. They must hold alpha tokens at all (length filter), and have enough tokens left behind the shared one
 on both sides (positional filter); the overlap of those that remain is then counted exactly.
 
 Templates are a fixed registry, so the join's small side is a set of plan literals and no row is
@@ -92,14 +92,18 @@ def license_scan(
     """Adds a struct column ``out`` (replaced if it exists) to every row: n_words, places (label,
     first word of each consecutive phrase) and matches (label, block, share of the template found).
 
-    A null or empty text has no words and no matches. Rows are independent: repeated rows, nulls and
+    A null or empty text has no words and no matches; very long texts are scanned whole. Rows are independent: repeated rows, nulls and
     columns of any name pass through. An empty table stays empty.
     """
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     order = token_order(df, text_col, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
     width = stride + max(len(t.text.split()) for t in templates) - 1
-    anchors = sorted({w for t in templates for w in sorted(set(t.text.split()), key=rank.__getitem__)[: len(set(t.text.split())) - _alpha(t) + 1]})
+    prefixes = [sorted(set(t.text.split()), key=rank.__getitem__)[: len(set(t.text.split())) - _alpha(t) + 1] for t in templates]
+    anchors = sorted({w for p in prefixes for w in p})
+    index = "map(" + ",".join(f"'{w}',array({','.join(str(i + 1) for i, p in enumerate(prefixes) if w in p)})" for w in anchors) + ")"
+    registry = f"array({','.join(_template_literal(t, rank) for t in templates)})"
+    tried = f"transform(array_distinct(flatten(transform(array_intersect(x.s, {_list(anchors)}), w -> element_at({index}, w)))), i -> element_at({registry}, i))"
     blocks = F.expr(
         f"""filter(transform(transform(sequence(0, greatest(cast(ceil(size(__words) / {stride}D) as int) - 1, 0)),
               k -> named_struct('k', k, 'b', slice(__words, k * {stride} + 1, {width}))),
@@ -108,7 +112,7 @@ def license_scan(
     )
     joined = F.expr(
         f"""filter(transform(__blocks, x -> named_struct('k', x.k, 'b', x.b, 't',
-              transform(filter(array({",".join(_template_literal(t, rank) for t in templates)}),
+              transform(filter({tried},
                 t -> size(x.s) >= t.alpha
                  and exists(t.prefix, p -> array_position(x.s, p.tok) > 0 and 1 + least(p.rest, size(x.s) - array_position(x.s, p.tok)) >= t.alpha)
                  and size(array_intersect(t.tokens, x.s)) >= t.alpha),

@@ -17,11 +17,11 @@ in 400 - o bytes onwards and o bytes back, that is, in the classes which both ar
 
 A gram in a very common passage has a context for each document at the passage's ends. Such grams are
 split by offset: windows at different offsets never equal, so every chunk of offsets is a group of its
-own, with contexts cut to what its windows span. Chunks inside the passage then merge into one entry a
-task, and those at its ends share nearly all bytes, which front-coding leaves out.
+own. All windows of a chunk span the same bytes but for a few at either end; these common bytes go into
+the group's 128-bit number, and contexts keep the few others only. Windows that differ there are in
+different groups, in different tasks, and equal ones merge into one entry a run. For the hottest grams
+a chunk is a single offset: its context is the number alone.
 
-Contexts come back as the outermost recurring offsets; all windows of an anchor hold the anchor's byte,
-so what they cover is one span. Equal contexts count once in every task, however many copies there are.
 """
 
 from __future__ import annotations
@@ -44,9 +44,10 @@ GRAM = 64
 #: Bytes of contexts that a task gathers before it writes a run, and of runs that one task merges.
 RUN_BYTES = 32 << 20
 MERGE_BYTES = 12 << 20
-#: A gram at more anchors than this is taken apart by offsets, CHUNK at a time.
+#: A gram at more anchors than this is taken apart by offsets, CHUNK at a time; at more than HOTTEST_GRAM, one at a time.
 HOT_GRAM = 2048
 CHUNK = 16
+HOTTEST_GRAM = 1 << 18
 #: Windows of a document that are looked at together (positions take 24 bits of an anchor's rank).
 SEGMENT = 1 << 22
 #: Entries whose offsets are resolved together.
@@ -54,7 +55,7 @@ RESOLVE = 16_384
 _VALUES = np.random.default_rng(1).integers(1, 1 << 63, 256, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_HEAD = struct.Struct(">QHHHHIB")
+_HEAD = struct.Struct(">QHHHHIH")
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -134,28 +135,29 @@ def common(a: bytes, b: bytes, known: int) -> int:
     return lo
 
 
-def front_code(entries: list[tuple[int, bytes, bytes, int, bool]]) -> bytes:
-    """A sorted run of (gram hash, bytes on, reversed bytes back, number, repeated)."""
+def front_code(entries: list[tuple[int, bytes, bytes, int, int]]) -> bytes:
+    """A sorted run of (group, bytes on, reversed bytes back, number, mark). A mark's lowest bit tells that the run has
+    the context more than once, the next that its chunk is one offset; the rest is the chunk's number from 1, or 0."""
     out, last_on, last_back, last_h = [], b"", b"", None
-    for h, on, back, number, many in entries:
+    for h, on, back, number, mark in entries:
         p = common(last_on, on, 0) if h == last_h else 0
         q = common(last_back, back, 0)
-        out += (_HEAD.pack(h, p, len(on) - p, q, len(back) - q, number, many), on[p:], back[q:])
+        out += (_HEAD.pack(h, p, len(on) - p, q, len(back) - q, number, mark), on[p:], back[q:])
         last_h, last_on, last_back = h, on, back
     return b"".join(out)
 
 
-def front_decode(block: bytes) -> Iterator[tuple[bytes, int, bytes, int, bool]]:
-    """(sort string, prefix shared with the one before, reversed bytes back, number, repeated)."""
+def front_decode(block: bytes) -> Iterator[tuple[bytes, int, bytes, int, int]]:
+    """(sort string, prefix shared with the one before, reversed bytes back, number, mark)."""
     at, on, back, last_h = 0, b"", b"", None
     while at < len(block):
-        h, p, n, q, m, number, many = _HEAD.unpack_from(block, at)
+        h, p, n, q, m, number, mark = _HEAD.unpack_from(block, at)
         at += _HEAD.size
         on, back = on[:p] + block[at : at + n], back[:q] + block[at + n : at + n + m]
         at += n + m
         shared = 0 if last_h is None else 8 + p if h == last_h else (64 - (h ^ last_h).bit_length()) // 8
         last_h = h
-        yield struct.pack(">Q", h) + on, shared, back, number, bool(many)
+        yield struct.pack(">Q", h) + on, shared, back, number, mark
 
 
 class LoserTree:
@@ -205,15 +207,18 @@ class LoserTree:
                 node //= 2
 
 
-def recurring_offsets(shared: np.ndarray, backs: list[bytes], lengths: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The least and the largest recurring offset of each entry of whole gram groups in suffix order
-    (least > largest: none). shared: bytes in common with the entry before; lengths: bytes onwards."""
+def recurring_offsets(group: np.ndarray, shared: np.ndarray, backs: list[bytes], known: np.ndarray, lengths: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest recurring offset of each entry of whole groups in suffix order (least > largest:
+    none). shared: bytes in common with the entry before; lengths: bytes onwards; known: bytes back that the whole
+    group has in common, besides ``backs``."""
     n = len(backs)
-    low, high = length - lengths, np.array([len(b) for b in backs])
-    order = sorted(range(n), key=backs.__getitem__)
+    low, high = length - lengths, np.array([len(b) for b in backs]) + known
+    groups = group.tolist()
+    order = sorted(range(n), key=lambda k: (groups[k], backs[k]))
     back_shared = np.zeros(n, np.int64)
     for k in range(1, n):
-        back_shared[k] = common(backs[order[k - 1]], backs[order[k]], 0)
+        if groups[order[k - 1]] == groups[order[k]]:
+            back_shared[k] = common(backs[order[k - 1]], backs[order[k]], 0) + known[order[k]]
     order = np.array(order)
     least, most = np.where(many, low, length), np.where(many, high, -1)
     left = np.empty(n, np.int64)
@@ -236,22 +241,26 @@ _RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("block", pa.bina
 _RUNS_SQL = "part int, run string, block binary, number int, f long, r long, a long"
 
 
-def group_of(h: int, chunk: int) -> int:
-    """A group's 64-bit number, spread evenly: anchors' hashes are the least of many, so they aren't."""
+def group_of(h: int) -> int:
+    """A gram's 64-bit number, spread evenly: anchors' hashes are the least of many, so they aren't."""
     h &= (1 << 64) - 1
-    return ((h ^ chunk) * 0xD6E8FEB86659FD93 ^ h >> 31) & (1 << 64) - 1
+    return (h * 0xD6E8FEB86659FD93 ^ h >> 31) & (1 << 64) - 1
 
 
-def contexts(data: bytes, x: dict, length: int) -> Iterator[tuple[tuple[int, bytes, bytes], int]]:
-    """((group, bytes on, reversed bytes back), anchor) of an anchor's windows: one context, or one for
-    each chunk of offsets if its gram is hot."""
-    a, least, most = x["a"], x["least"], x["most"]
-    if not x["hot"]:
-        yield (group_of(x["h"], 0), data[a : a - least + length], data[a - most : a][::-1]), a
+def contexts(data: bytes, x: dict, length: int) -> Iterator[tuple[tuple[int, bytes, bytes, int], int]]:
+    """((group, bytes on, reversed bytes back, mark), anchor) of an anchor's windows: one context, or one for each chunk
+    of ``size`` offsets if its gram is hot."""
+    import xxhash
+
+    a, least, most, size = x["a"], x["least"], x["most"], x["size"]
+    if not size:
+        yield (group_of(x["h"]), data[a : a - least + length], data[a - most : a][::-1], 0), a
         return
-    for k in range(least // CHUNK, most // CHUNK + 1):
-        low, high = max(least, k * CHUNK), min(most, k * CHUNK + CHUNK - 1)
-        yield (group_of(x["h"], k + 1), data[a : a - low + length], data[a - high : a][::-1]), a
+    for k in range(least // size, most // size + 1):
+        low, high = max(least, k * size), min(most, k * size + size - 1)
+        start, end = a - k * size, a + length - (k * size + size - 1)
+        core = xxhash.xxh3_128_digest(data[start:end], k)
+        yield (int.from_bytes(core[:8], "big"), core[8:] + data[end : a - low + length], data[a - high : start][::-1], (k + 1) << 2 | (size == 1) << 1), a
 
 
 def _sorted_runs(length: int, parts: int):
@@ -274,14 +283,14 @@ def _sorted_runs(length: int, parts: int):
                 if own:
                     yield batch(1, part=[part], run=[run], block=[front_code(own)])
                 part, own = key[0] * parts >> 64, []
-            own.append((*key, number, len(owners) > 3))
+            own.append((*key[:3], number, key[3] | (len(owners) > 3)))
         if own:
             yield batch(1, part=[part], run=[run], block=[front_code(own)])
         if numbers:
             yield batch(len(numbers), run=[run] * len(numbers), number=numbers, f=owned[::3], r=owned[1::3], a=owned[2::3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries: dict[tuple[int, bytes, bytes], list] = {}
+        entries: dict[tuple[int, bytes, bytes, int], list] = {}
         held = 0
         for batch in batches:
             for f, r, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
@@ -309,18 +318,22 @@ def _merge(length: int):
         names = sorted(runs)
         tree = LoserTree([front_decode(b"".join(runs[n])) for n in names])
         rows: list[tuple] = []
-        for win, shared, (text, _, back, number, many) in tree:
-            if shared < 8 and len(rows) >= RESOLVE:
+        for win, shared, (text, _, back, number, mark) in tree:
+            new = shared < (16 if mark > 1 else 8)  # a chunk's number is 16 bytes long
+            if new and len(rows) >= RESOLVE:
                 yield from resolve(rows, names)
                 rows = []
-            rows.append((win, max(0, shared - 8), len(text) - 8, back, number, many))
+            rows.append((win, new, shared, len(text), back, number, mark))
         if rows:
             yield from resolve(rows, names)
 
     def resolve(rows: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
-        win, shared, lengths, backs, number, many = zip(*rows, strict=True)
-        shared = np.array(shared)
-        least, most = recurring_offsets(shared, list(backs), np.array(lengths), np.array(many), length)
+        win, new, shared, lengths, backs, number, mark = zip(*rows, strict=True)
+        new, shared, lengths, mark = np.array(new), np.array(shared), np.array(lengths), np.array(mark)
+        chunk, size = mark >> 2, np.where(mark & 2, 1, CHUNK)
+        known = np.where(chunk > 0, (chunk - 1) * size, 0)  # bytes back and on that a chunk's number stands for
+        onwards = np.where(chunk > 0, length - known - size + 1 - 16, -8)
+        least, most = recurring_offsets(np.cumsum(new), np.where(new, 0, shared + onwards), list(backs), known, lengths + onwards, (mark & 1) > 0, length)
         at = np.flatnonzero(least <= most)
         if len(at):
             yield pa.RecordBatch.from_arrays([
@@ -348,15 +361,16 @@ def repeated_spans(docs: DataFrame, text: Column, length: int = LENGTH) -> DataF
     found = staged(rows.where(F.octet_length("text") >= length).mapInArrow(_find_anchors(length), "f long, r long, a long, least int, most int, h long"), "anchors")
     again = flag_members(found, found.select("h"), found.count(), 2).where("again")
     again = staged(again, "repeated-grams")
-    hot = staged(again.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GRAM).select("h", F.lit(True).alias("hot")), "hot-grams")
+    size = F.when(F.col("n") > HOTTEST_GRAM, 1).otherwise(CHUNK).alias("size")
+    hot = staged(again.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HOT_GRAM).select("h", size), "hot-grams")
     contexts = again.count()
     if hot.isEmpty():
-        marked = again.withColumn("hot", F.lit(False))
+        marked = again.withColumn("size", F.lit(0))
     elif hot.count() <= 1 << 20:
         marked = again.join(F.broadcast(hot), "h", "left")
     else:
         marked = join_groups(again, hot, ["h"], "left")
-    marked = staged(marked.groupBy("f", "r").agg(F.collect_list(F.struct("a", "least", "most", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("found")), "repeated-anchors")
+    marked = staged(marked.groupBy("f", "r").agg(F.collect_list(F.struct("a", "least", "most", "h", F.coalesce("size", F.lit(0)).alias("size"))).alias("found")), "repeated-anchors")
     discard(again)
     discard(found)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-contexts * 2 * length // MERGE_BYTES))
@@ -391,7 +405,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_bytes: bool = True) -> DataFrame:
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256 and, with
     ``keep_bytes``, the remaining bytes. Texts are UTF-8 bytes, null is empty; strings never cross
-    documents. Repeated rows are documents of their own, so both lose what they share. Other columns,
+    documents. Repeated rows are documents of their own, so both lose what they share. Very long texts are
+    taken whole, anchors being found SEGMENT windows at a time. Other columns,
     whatever their names, are not read. An empty table gives no rows."""
     text_batches(df.sparkSession)
     docs = with_row_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))

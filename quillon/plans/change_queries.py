@@ -9,22 +9,22 @@ from quillon.operators import report as R
 from quillon.operators.report_expr import with_expression
 from quillon.plans.registry import query
 
-_BASE = "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey <= 500"
-_NEW = "SELECT c_custkey + 300 AS c_custkey, 'new ' || c_name AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey <= 400"
+_BASE = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+_NEW = "SELECT 2 * c_custkey AS c_custkey, 'new ' || c_name AS c_name, c_acctbal + 1 AS c_acctbal FROM customer"
 _WITH = f"WITH old AS ({_BASE}), new AS ({_NEW})"
 
 
 def _tables(t):
     columns = ("c_custkey", "c_name", "c_acctbal")
-    old = t("customer").where("c_custkey <= 500").select(*columns)
-    new = t("customer").where("c_custkey <= 400").select((F.col("c_custkey") + 300).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    old = t("customer").select(*columns)
+    new = t("customer").select((2 * F.col("c_custkey")).alias("c_custkey"), F.concat(F.lit("new "), "c_name").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
     return old, new
 
 
-@query(f"{_WITH} SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey > 500")
+@query(f"{_WITH} SELECT * FROM old UNION ALL SELECT -1 - c_custkey, c_name, c_acctbal FROM new")
 def dml_insert(t):
     old, new = _tables(t)
-    return M.insert(old, new.where("c_custkey > 500"), ["c_custkey"])
+    return M.insert(old, new.withColumn("c_custkey", -1 - F.col("c_custkey")), ["c_custkey"])
 
 
 @query(f"{_WITH} SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old)")
@@ -64,10 +64,10 @@ def dml_delete_limit(t):
     return M.delete_limited(_tables(t)[0], F.col("c_acctbal") > 0, ["c_custkey"], [F.desc("c_acctbal"), F.col("c_custkey")], 25)
 
 
-@query(f"{_WITH} SELECT c_custkey, c_acctbal + 10 AS c_acctbal FROM old WHERE c_custkey < 20")
+@query(f"{_WITH} SELECT c_custkey, c_acctbal + 10 AS c_acctbal FROM old WHERE c_acctbal < 0")
 def dml_returning(t):
     old = _tables(t)[0]
-    return M.returning(old, M.update(old, {"c_acctbal": F.col("c_acctbal") + 10}, F.col("c_custkey") < 20), ["c_custkey"], "c_custkey", "c_acctbal")
+    return M.returning(old, M.update(old, {"c_acctbal": F.col("c_acctbal") + 10}, F.col("c_acctbal") < 0), ["c_custkey"], "c_custkey", "c_acctbal")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")

@@ -8,11 +8,11 @@ from quillon.functions import json as J
 from quillon.operators import forjson as X
 from quillon.plans.registry import query
 
-_E = "FROM events WHERE event_id < 500"
+_E = "FROM events"
 
 
 def _events(t):
-    return t("events").where("event_id < 500")
+    return t("events")
 
 
 @query(f"""SELECT event_id, (props->>'$.k')::INT AS k, (props->>'$.k')::VARCHAR AS text, NULL::VARCHAR AS missing {_E}""")
@@ -96,10 +96,10 @@ def json_group_object(t):
     return joined.groupBy("r_name").agg(J.json_group_object(F.col("n_name"), F.col("n_nationkey"), "integer", F.col("n_name")).alias("keys"))
 
 
-@query("""SELECT e.event_id AS event_id, 'k' AS key, (e.props->>'$.k')::VARCHAR AS value, 'integer' AS type, '$.k' AS fullkey, '$' AS path FROM events e WHERE event_id < 200""")
+@query("""SELECT e.event_id AS event_id, 'k' AS key, (e.props->>'$.k')::VARCHAR AS value, 'integer' AS type, '$.k' AS fullkey, '$' AS path FROM events e""")
 def json_each(t):
     J.register(t.spark)
-    t("events").where("event_id < 200").createOrReplaceTempView("json_each_events")
+    t("events").createOrReplaceTempView("json_each_events")
     return t.spark.sql("SELECT e.event_id, j.key, j.value, j.type, j.fullkey, j.path FROM json_each_events e, LATERAL json_each(e.props, '$') j")
 
 

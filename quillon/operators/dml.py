@@ -42,7 +42,7 @@ def insert(table: DataFrame, rows: DataFrame, keys: list[str] | None = None, con
         first = latest(keyed, keys, order)
         return table.unionByName(first.join(table, keys, "left_anti").select(*table.columns)).unionByName(free)
     if conflict == "replace":
-        last = latest(keyed, keys, [_reverse(o) for o in order])
+        last = final(keyed, keys, order)
         return table.join(last, keys, "left_anti").select(*table.columns).unionByName(last).unionByName(free)
     met = table.select(*keys).unionByName(keyed.select(*keys)).groupBy(*keys).agg(F.count("*").alias("__n"))
     said = "UNIQUE constraint failed: " + ", ".join(keys)
@@ -50,8 +50,31 @@ def insert(table: DataFrame, rows: DataFrame, keys: list[str] | None = None, con
     return table.unionByName(checked.select(*table.columns)).unionByName(free)
 
 
-def _reverse(order: Column) -> Column:
-    return F.desc(order)
+def final(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row for each key: the last in ``order``."""
+    within = Window.partitionBy(*keys)
+    ranked = rows.withColumn("__n", F.row_number().over(within.orderBy(*order))).withColumn("__of", F.count("*").over(within))
+    return ranked.where("__n = __of").drop("__n", "__of")
+
+
+def numbered(rows: DataFrame, column: str, start: int) -> DataFrame:
+    """Rows whose ``column`` is NULL get consecutive numbers after ``start``, in the rows' order, without gathering
+    them: a number within the partition plus the rows of the partitions before. Rows must come in the same order
+    each time they are computed."""
+    at = rows.withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
+    missing = at.where(F.col(column).isNull())
+    counts = sorted((r["__part"], r["n"]) for r in missing.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    if not counts:
+        return rows
+    before, so_far = [], start
+    for part, n in counts:
+        before.append((part, so_far))
+        so_far += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(before, "__part int, __before long"))
+    rank = F.row_number().over(Window.partitionBy("__part", F.col(column).isNull()).orderBy("__id"))
+    placed = at.join(offsets, "__part", "left").withColumn("__rank", rank)
+    kind = rows.schema[column].dataType
+    return placed.withColumn(column, F.coalesce(column, (F.col("__before") + F.col("__rank")).cast(kind))).select(*rows.columns)
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: dict[str, Column] | None, where: Column | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def compound(first: DataFrame, *rest: tuple[str, DataFrame]) -> DataFrame:
     return out
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> None:
     """Sets the context's checkpoint folder where none is set: to spark.checkpoint.dir, or in local mode
     to a temporary folder."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -81,7 +81,7 @@ def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct:
     that were met before don't recur, so cycles end. Each round is checkpointed to the shared folder
     (spark.checkpoint.dir), and only its new rows go into the next. Rounds go on until one brings no new
     rows; RecursionError after ``max_rounds``, if given."""
-    _checkpoint_folder(seed.sparkSession)
+    checkpoint_folder(seed.sparkSession)
     fresh = (seed.distinct() if distinct else seed).checkpoint()
     found, rounds = fresh, 0
     while max_rounds is None or rounds < max_rounds:

@@ -257,10 +257,10 @@ class Database:
         return held[1]
 
     def select(self, tree: syntax.Select, named: dict | None = None) -> DataFrame:
-        """The DataFrame of a parsed query. A recursive CTE that drops repeated rows (UNION) is followed
-        to its fixpoint here; all else is one translated query."""
+        """The DataFrame of a parsed query. A recursive CTE that drops repeated rows (UNION) or has a LIMIT is
+        followed round by round here; all else is one translated query."""
         named = named or {}
-        if tree.recursive and any("UNION" in q.operations and name.lower() in translate.shape_sources(q) for name, _, q in tree.ctes):
+        if tree.recursive and any(("UNION" in q.operations or q.limit is not None) and name.lower() in translate.shape_sources(q) for name, _, q in tree.ctes):
             return self._fixpoint(tree, named)
         sql, _ = self._translator(named).query(tree)
         try:
@@ -281,7 +281,10 @@ class Database:
                     scratch.put(name, new)
                     return scratch.select(again, named)
 
-                done = relational.recursive(seed, step, distinct=q.operations == ["UNION"])
+                limit, offset = (None if e is None else scratch.select(syntax.Select([syntax.Core(items=[(e, "n")])], []), named).first()[0] for e in (q.limit, q.offset))
+                if q.order and limit is not None:
+                    raise EngineError("ORDER BY with LIMIT in a recursive query isn't supported", "error")
+                done = relational.recursive(seed, step, q.operations == ["UNION"], limit=None if limit is None or limit < 0 else limit, offset=max(0, offset or 0))
             else:
                 done = scratch.select(q, named)
                 done = done.toDF(*(columns or done.columns))

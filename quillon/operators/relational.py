@@ -76,24 +76,35 @@ def checkpoint_folder(spark: SparkSession) -> None:
 MERGE_ROUNDS = 64
 
 
-def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int | None = None) -> DataFrame:
+def recursive(seed: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, max_rounds: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """WITH RECURSIVE: ``step`` maps the rows of one round to the next's; with ``distinct`` (UNION) rows
     that were met before don't recur, so cycles end. Each round is checkpointed to the shared folder
     (spark.checkpoint.dir), and only its new rows go into the next. Rounds go on until one brings no new
-    rows; RecursionError after ``max_rounds``, if given."""
+    rows, or ``offset`` + ``limit`` rows are found; RecursionError after ``max_rounds``, if given. Of the
+    rows, round by round and within a round by their columns, ``offset`` are left out and ``limit`` taken."""
     checkpoint_folder(seed.sparkSession)
     fresh = (seed.distinct() if distinct else seed).checkpoint()
-    found, rounds = fresh, 0
+    found, out, rounds, seen = fresh, None, 0, 0
     while max_rounds is None or rounds < max_rounds:
+        if limit is not None or offset:
+            n = fresh.count()
+            low, high = max(0, offset - seen), n if limit is None else min(n, offset + limit - seen)
+            seen += n
+            part = fresh if (low, high) == (0, n) else fresh.orderBy(*fresh.columns).limit(max(low, high)).offset(low)
+            out = part if out is None else out.union(part)
+            if limit is not None and seen >= offset + limit:
+                return out
         new = step(fresh)
         if distinct:
             new = new.distinct().join(found, [new[a].eqNullSafe(found[b]) for a, b in zip(new.columns, found.columns, strict=True)], "left_anti")
         fresh = new.toDF(*seed.columns).checkpoint()
         if fresh.isEmpty():
-            return found
-        found, rounds = found.union(fresh), rounds + 1
+            return found if out is None else out
+        rounds += 1
+        if distinct or out is None:  # what later rounds are held against, or the result
+            found = found.union(fresh)
         if rounds % MERGE_ROUNDS == 0:
-            found = found.coalesce(max(1, seed.sparkSession.sparkContext.defaultParallelism)).checkpoint()
+            found, out = (x and x.coalesce(max(1, seed.sparkSession.sparkContext.defaultParallelism)).checkpoint() for x in (found, out))
     raise RecursionError(f"no end after {max_rounds} rounds")
 
 

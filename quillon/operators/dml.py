@@ -121,9 +121,10 @@ def delete_limited(table: DataFrame, where: Column, keys: list[str], order: list
 
 
 def returning(before: DataFrame, after: DataFrame, keys: list[str], *columns: str) -> DataFrame:
-    """RETURNING: the new state of the rows that a change inserted or altered, found by key."""
-    same = before.join(after, [before[c].eqNullSafe(after[c]) for c in after.columns], "left_semi").select(*keys)
-    return after.join(same, keys, "left_anti").select(*(columns or after.columns))
+    """RETURNING: the new state of the rows that a change inserted or altered, found by a unique key."""
+    old = before.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*after.columns).alias("__old"))
+    both = after.withColumn("__new", F.struct(*after.columns)).join(old, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], "left")
+    return both.where(~F.col("__new").eqNullSafe(F.col("__old"))).select(*(columns or after.columns))
 
 
 # Constraints: the rows that violate them.

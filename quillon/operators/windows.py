@@ -111,11 +111,15 @@ def group_concat_over(value: Column, separator: str, spec: Over) -> Column:
     return F.array_join(F.collect_list(value).over(spec.spec()), separator)
 
 
-def lag_by(value: Column, offset: Column, spec: Over, default: Column | None = None) -> Column:
-    """lag with an offset of its own in every row (negative: lead), by position in the partition."""
-    rows = Window.partitionBy(*spec.partition).orderBy(*spec.order)
-    everything = F.collect_list(F.struct(value.alias("v"))).over(rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    at = F.row_number().over(rows) - offset
-    inside = (at >= 1) & (at <= F.size(everything))
-    got = F.when(inside, F.element_at(everything, F.when(inside, at).cast("int"))["v"])
-    return got if default is None else F.when(inside, got).when(offset.isNotNull(), default)
+def lag_by(df: DataFrame, value: Column, offset: Column, spec: Over, out: str, default: Column | None = None) -> DataFrame:
+    """Adds ``out``: lag with an offset of its own in every row (negative: lead), by position in the partition. Rows
+    are numbered and joined with the row at the number wanted, so a partition is never held as a whole. The window's
+    order must tell all rows of a partition apart."""
+    parts = [f"__p{i}" for i in range(len(spec.partition))]
+    rows = df.select("*", *(c.alias(p) for c, p in zip(spec.partition, parts, strict=True)), F.row_number().over(ordered(spec)).alias("__at"), value.alias("__value"), offset.alias("__offset"))
+    there = rows.select(*(F.col(p).alias(f"{p}_there") for p in parts), F.col("__at").alias("__there"), F.col("__value").alias("__got"))
+    on = [F.col(p).eqNullSafe(F.col(f"{p}_there")) for p in parts] + [F.col("__at") - F.col("__offset") == F.col("__there")]
+    got = F.when(F.col("__there").isNotNull(), F.col("__got"))
+    if default is not None:
+        got = got.when(F.col("__offset").isNotNull(), default)
+    return rows.join(there, on, "left").select(*(df.columns), got.alias(out))

@@ -41,7 +41,7 @@ def win_lag_lead(t):
 @query("""SELECT s_suppkey, lag(s_acctbal, (s_suppkey % 3)::INT) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS back FROM supplier""")
 def win_lag_per_row(t):
     spec = W.Over((F.col("s_nationkey"),), (F.col("s_suppkey"),))
-    return t("supplier").select("s_suppkey", W.lag_by(F.col("s_acctbal"), F.col("s_suppkey") % 3, spec).alias("back"))
+    return W.lag_by(t("supplier"), F.col("s_acctbal"), F.col("s_suppkey") % 3, spec, "back").select("s_suppkey", "back")
 
 
 @query(f"""SELECT c_custkey, first_value(c_custkey) OVER w AS f, last_value(c_custkey) OVER w AS l, nth_value(c_custkey, 2) OVER w AS n2 {_C} WINDOW w AS ({_BY} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")

@@ -44,9 +44,9 @@ GRAM = 64
 #: Bytes of contexts that a task gathers before it writes a run, and of runs that one task merges.
 RUN_BYTES = 32 << 20
 MERGE_BYTES = 12 << 20
-#: A gram at more anchors than this is taken apart by offsets, CHUNK at a time; at more than HOTTEST_GRAM, one at a time.
+#: A gram at more anchors than this is taken apart by offsets, CHUNK (at most GRAM) at a time; at more than HOTTEST_GRAM, one at a time.
 HOT_GRAM = 2048
-CHUNK = 16
+CHUNK = 64
 HOTTEST_GRAM = 1 << 18
 #: Windows of a document that are looked at together (positions take 24 bits of an anchor's rank).
 SEGMENT = 1 << 22

@@ -210,7 +210,7 @@ def brute_spans(texts, length):
 @pytest.mark.parametrize(("hot", "hottest", "segment", "resolve"), [(1, 1, 1 << 22, 16_384), (1, 6, 97, 1), (1, 1 << 18, 1 << 22, 16_384), (2048, 1 << 18, 50, 16_384)])
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot, hottest, segment, resolve):
     """Hot grams by single offsets, by chunks of them and by both, none hot; texts over several segments; many groups."""
-    for name, value in (("HOT_GRAM", hot), ("HOTTEST_GRAM", hottest), ("SEGMENT", segment), ("RESOLVE", resolve)):
+    for name, value in (("HOT_GRAM", hot), ("HOTTEST_GRAM", hottest), ("SEGMENT", segment), ("RESOLVE", resolve), ("CHUNK", 16 if resolve == 1 else 64)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))

@@ -108,10 +108,11 @@ def join_counted(rows: DataFrame, groups: DataFrame, keys: list[str], most: int
 
 def with_row_id(df: DataFrame, name: str = "__rid") -> DataFrame:
     """Adds a row identity that every later scan gives again: hash of the file and row in it, for plain
-    reads of files. Anything else is staged with a running number."""
-    plan = df._jdf.queryExecution().analyzed().toString()
+    reads of files with deterministic filters. Anything else is staged with a running number."""
+    analyzed = df._jdf.queryExecution().analyzed()
+    plan = analyzed.toString()
     nodes = {line.strip(" :+-|").split(" ")[0].strip("'!") for line in plan.splitlines() if line.strip()}
-    if nodes <= {"Project", "Filter", "Relation"} and "parquet" in plan:
+    if nodes <= {"Project", "Filter", "Relation"} and "parquet" in plan and analyzed.deterministic():
         meta = df.metadataColumn("_metadata")
         return df.select("*", F.struct(F.xxhash64(meta["file_path"]).alias("f"), meta["row_index"].alias("r")).alias(name))
     return staged(df.select("*", F.struct(F.lit(0).cast("long").alias("f"), F.monotonically_increasing_id().alias("r")).alias(name)), "rows")

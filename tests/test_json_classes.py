@@ -34,3 +34,10 @@ def test_nodes(spark, where):
     for source in ("json_each('[10,\"x\",9]')", f"json_tree('{DOC}')"):
         sql = f"SELECT fullkey FROM {source} WHERE {where}"
         assert sorted(r[0] for r in db.exec(sql).rows()) == sorted(r[0] for r in con.execute(sql)), sql
+
+
+def test_arithmetic_of_literals(spark):
+    db, con = Database(spark), sqlite3.connect(":memory:")
+    some = ["9223372036854775807 + 1", "9223372036854775807 * 2", "0 - 9223372036854775807 - 1", "'12abc' + 1", "' -3x' * 2", "'1.5x' + 1", "'1e2' + 1", "'abc' + 1", "'12' || 1", "'7' / 2", "'7.' + 0", "'1e' + 1"]
+    sql = "SELECT " + ", ".join(f"{e} AS c{i}, typeof({e}) AS t{i}" for i, e in enumerate(some))
+    assert tuple(db.exec(sql).first()) == con.execute(sql).fetchone()

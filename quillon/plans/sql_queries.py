@@ -58,3 +58,16 @@ def sql_changes(t):
 @query("""SELECT '[' || string_agg('{"r_name":"' || r_name || '"}', ',' ORDER BY r_name) || ']' AS json FROM region""")
 def sql_for_json(t):
     return _run(t, "SELECT r_name FROM region ORDER BY r_name FOR JSON PATH", "region")
+
+
+@query("""SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS near,
+  count(*) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS before,
+  sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW)::BIGINT AS beside FROM customer""")
+def sql_groups_exclude(t):
+    return _run(
+        t,
+        "SELECT c_custkey, count(*) OVER w AS near, count(*) OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS before, "
+        "sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS beside "
+        "FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW)",
+        "customer",
+    )

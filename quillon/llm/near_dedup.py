@@ -8,8 +8,9 @@ a value's group stays small. A group is searched by the Gray-order hierarchical
 groups of nodes by the differences accumulated over their shared masks, and every pair that it finds is
 verified exactly on the two sets before it links anything.
 
-A large cluster isn't paired off. The first pass takes two partners of a text at most, the nearest and the
-one with the least hash, verifies them and follows the links to components. The second pass only pairs
+A large cluster isn't paired off. The first pass takes a few partners of a text, the ``NEAREST`` ones and the
+one with the least hash, verifies them and follows the links to components: a graph of several nearest
+neighbours holds a cluster together, one of a single neighbour falls apart. The second pass only pairs
 texts of different components. A value that more than ``HOT`` texts share is cut into blocks at random in
 the first pass (each sample cuts another way); in the second, the blocks of all texts outside its
 commonest component meet every other block, a pair of blocks at a time.
@@ -37,7 +38,9 @@ WIDE = 4
 #: Odds that no sample routes a pair at the bound together.
 MISS = 0.002
 #: Standard deviations of the differing bits that the bound allows for.
-SLACK = 5.0
+SLACK = 4.0
+#: Partners of a text that the first pass verifies, besides the one with the least hash.
+NEAREST = 4
 #: Texts of one value that are searched as one group.
 HOT = 2048
 #: Words whose hashes a worker remembers.
@@ -237,9 +240,9 @@ def near_links(reps: DataFrame, texts: int, sets_of, share: float = SHARE) -> Da
         block = F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("h", "key"), _blocks(F.col("m")))))
         first = join_groups(keyed, hot, ["key"], "left").withColumn("key", block)
     near = staged(_candidates(first.withColumn("root", F.col("h")), bits, share, False), "near-first")
-    # of each text's partners in all groups the nearest and the least
-    best = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("nearest"), F.min("b").alias("least"))
-    pairs = best.select("a", F.explode(F.array("nearest.b", "least")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # of each text's partners, at most two of every sample, the nearest and the least
+    best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "b"))), 1, NEAREST).alias("nearest"), F.min("b").alias("least"))
+    pairs = best.select("a", F.explode(F.array_union("nearest.b", F.array("least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     some = near.select(F.col("a").alias("h")).distinct()
     if hot is not None:
         some = some.union(join_groups(keyed, hot, ["key"]).select("h")).distinct()

@@ -237,8 +237,8 @@ def recurring_offsets(group: np.ndarray, shared: np.ndarray, backs: list[bytes],
     return least, most
 
 
-_RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("block", pa.binary()), ("number", pa.int32()), ("f", pa.int64()), ("r", pa.int64()), ("a", pa.int64())])
-_RUNS_SQL = "part int, run string, block binary, number int, f long, r long, a long"
+_RUNS = pa.schema([("part", pa.int32()), ("run", pa.string()), ("block", pa.binary()), ("number", pa.int32()), ("f", pa.int64()), ("r", pa.int64()), ("a", pa.list_(pa.int64()))])
+_RUNS_SQL = "part int, run string, block binary, number int, f long, r long, a array<long>"
 
 
 def group_of(h: int) -> int:
@@ -270,15 +270,28 @@ def _sorted_runs(length: int, parts: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _RUNS], schema=_RUNS)
 
     def flush(entries: dict) -> Iterator[pa.RecordBatch]:
-        run, numbers, owned = uuid.uuid4().hex, [], []
-        part, own = None, []
+        run, owned = uuid.uuid4().hex, {"number": [], "f": [], "r": [], "a": []}
+        part, own, held = None, [], 0
+
+        def members() -> pa.RecordBatch:
+            out = batch(len(owned["f"]), run=[run] * len(owned["f"]), **owned)
+            for column in owned.values():
+                column.clear()
+            return out
+
         for number, key in enumerate(sorted(entries)):
             owners = entries.pop(key)
-            numbers += [number] * (len(owners) // 3)
-            owned += owners
-            if len(numbers) >= 20_000:
-                yield batch(len(numbers), run=[run] * len(numbers), number=numbers, f=owned[::3], r=owned[1::3], a=owned[2::3])
-                numbers, owned = [], []
+            last = None
+            for f, r, a in zip(owners[::3], owners[1::3], owners[2::3], strict=True):
+                if (f, r) != last:  # a document's places of one context make one row
+                    last = f, r
+                    for column, x in zip(owned.values(), (number, f, r, []), strict=True):
+                        column.append(x)
+                owned["a"][-1].append(a)
+            held += len(owners)
+            if held >= 60_000:
+                yield members()
+                held = 0
             if key[0] * parts >> 64 != part:
                 if own:
                     yield batch(1, part=[part], run=[run], block=[front_code(own)])
@@ -286,8 +299,8 @@ def _sorted_runs(length: int, parts: int):
             own.append((*key[:3], number, key[3] | (len(owners) > 3)))
         if own:
             yield batch(1, part=[part], run=[run], block=[front_code(own)])
-        if numbers:
-            yield batch(len(numbers), run=[run] * len(numbers), number=numbers, f=owned[::3], r=owned[1::3], a=owned[2::3])
+        if owned["f"]:
+            yield members()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: dict[tuple[int, bytes, bytes, int], list] = {}
@@ -379,8 +392,9 @@ def repeated_spans(docs: DataFrame, text: Column, length: int = LENGTH) -> DataF
     blocks = runs.where("block is not null").select("part", "run", "block").repartition(parts, "part").sortWithinPartitions("part", "run")
     offsets = staged(blocks.mapInArrow(_merge(length), "run string, number int, least int, most int"), "offsets")
     members = runs.where("block is null").select("run", "number", "f", "r", "a")
-    covered = members.join(offsets, ["run", "number"]).select("f", "r", F.struct((F.col("a") - F.col("most")).alias("start"), (F.col("a") - F.col("least") + length).alias("end")).alias("span"))
-    return covered.groupBy("f", "r").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    span = lambda a: F.struct((a - F.col("most")).alias("start"), (a - F.col("least") + length).alias("end"))
+    covered = members.join(offsets, ["run", "number"]).select("f", "r", F.transform("a", span).alias("spans"))
+    return covered.groupBy("f", "r").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

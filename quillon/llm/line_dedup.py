@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import flag_members, join_counted, join_groups, staged, with_row_id
+from quillon.llm.common import discard, flag_members, join_counted, join_groups, staged, with_row_id
 from quillon.session import table
 
 #: Shorter lines (in characters) only go if they are equal to an earlier one. At least twice the shorter end of _ends.
@@ -116,11 +116,16 @@ def near_lines(distinct: DataFrame, texts) -> DataFrame:
     first = staged(_recurring(distinct.select("h", "h2", "keys")), "line-ends")
     lines = staged(texts(first), "lines")
     second = staged(_recurring(lines.select("h", "h2", _halves(F.col("line")).alias("keys"))), "line-halves")
+    done = first, lines, second
     lines = staged(lines.join(second, ["h", "h2"]).join(distinct.select("h", "h2", "at"), ["h", "h2"]), "near-lines")
+    for old in done:
+        discard(old)
     keyed = staged(lines.select("h", "h2", "line").mapInArrow(_variants, "k long, role byte, h long, h2 long"), "variants")
     shared = staged(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     own = join_counted(keyed, shared, ["k"]).select("k", "role", "h", "h2").join(lines.select("h", "h2", "at"), ["h", "h2"])
     own = staged(own, "shared-variants")
+    discard(keyed)
+    discard(shared)
     me = F.struct("at", "h", "h2")
     least = own.groupBy("k").agg(
         F.min(F.when(F.col("role") == 0, me)).alias("replaced"), F.min(F.when(F.col("role") == 1, me)).alias("longer"), F.min(F.when(F.col("role") == 2, me)).alias("shorter")
@@ -131,7 +136,10 @@ def near_lines(distinct: DataFrame, texts) -> DataFrame:
         .select("h", "h2", F.col("other.h").alias("oh"), F.col("other.h2").alias("oh2")).distinct()
     )
     mine, theirs = lines.select("h", "h2", "line"), lines.select(F.col("h").alias("oh"), F.col("h2").alias("oh2"), F.col("line").alias("earlier"))
-    return pairs.join(mine, ["h", "h2"]).join(theirs, ["oh", "oh2"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("h", "h2").distinct()
+    near = staged(pairs.join(mine, ["h", "h2"]).join(theirs, ["oh", "oh2"]).where(F.levenshtein("line", "earlier", 1) >= 0).select("h", "h2").distinct(), "near-one-edit")
+    discard(own)
+    discard(lines)
+    return near
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -147,8 +155,10 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
         some = flag_members(places.select("h", "h2", "line"), hashes.select("h"), hashes.count()).where("again").drop("again")
         return join_groups(some, hashes, ["h", "h2"]).groupBy("h", "h2").agg(F.first("line").alias("line"))
 
-    near = near_lines(distinct, texts).withColumn("near", F.lit(True))
-    marked = staged(distinct.join(near, ["h", "h2"], "left").where("n > 1 or near").select("h", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
+    near = near_lines(distinct, texts)
+    marked = staged(distinct.join(near.withColumn("near", F.lit(True)), ["h", "h2"], "left").where("n > 1 or near").select("h", "h2", F.col("at").alias("first"), F.coalesce("near", F.lit(False)).alias("near")), "marked-lines")
+    discard(distinct)
+    discard(near)
     some = flag_members(places.select("h", "h2", "at"), marked.select("h"), marked.count()).where("again").drop("again")
     gone = join_groups(some, marked, ["h", "h2"]).where("near or at <> first").select(F.col("at.rid").alias("rid"), F.col("at.pos").alias("pos"))
     return gone.groupBy("rid").agg(F.collect_list("pos").alias("gone"))

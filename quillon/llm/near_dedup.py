@@ -10,10 +10,13 @@ verified exactly on the two sets before it links anything.
 
 A large cluster isn't paired off. The first pass takes a few partners of a text, the ``NEAREST`` ones and the
 one with the least hash, verifies them and follows the links to components: a graph of several nearest
-neighbours holds a cluster together, one of a single neighbour falls apart. The second pass only pairs
-texts of different components. A value that more than ``HOT`` texts share is cut into blocks at random in
-the first pass (each sample cuts another way); in the second, the blocks of all texts outside its
-commonest component meet every other block, a pair of blocks at a time.
+neighbours holds a cluster together, one of a single neighbour falls apart. The second pass only looks at
+texts of different components. Its searches don't list the pairs, they tell which texts hang together by
+candidates; such a cluster's sets then meet in one task, which goes over the candidates again, verifies
+them on the sets, skips those that links have joined meanwhile and returns the links that join two
+components. A value that more than ``HOT`` texts share is cut into blocks at random in the first pass (each
+sample cuts another way); in the second, the blocks of all texts outside its commonest component meet every
+other block, a pair of blocks at a time, and clusters are cut in the same way.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import join_groups, staged, text_batches
+from quillon.llm.common import discard, join_groups, staged, text_batches, with_row_id
 from quillon.llm.components import components
-from quillon.llm.simhash import GrayIndex, words_of
+from quillon.llm.simhash import GrayIndex, lowest, words_of
 
 SHINGLE = 5
 SHARE = 0.8
@@ -43,6 +46,8 @@ SLACK = 4.0
 NEAREST = 4
 #: Texts of one value that are searched as one group.
 HOT = 2048
+#: Shingles that weigh as much as a text when a cluster is cut into blocks.
+WEIGHT = 512
 #: Words whose hashes a worker remembers.
 CACHE = 1 << 19
 _SPREAD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -165,9 +170,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     return both.where(F.col("n") >= F.lit(share) * (F.col("na") + F.col("nb") - F.col("n")) - 1e-9).select("a", "b")
 
 
+def _by_key(found, rows: int, columns: int):
+    """Runs ``found`` on whole groups of rows sorted by the first column, about so many rows at a time. The fifth column
+    holds fingerprints, a sixth lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def arrays() -> tuple:
+            t = pa.Table.from_batches(held).combine_chunks()
+            flat = [t.column(k).to_numpy() for k in range(4)]
+            fp = t.column(4).combine_chunks().flatten().to_numpy().reshape(-1, WIDE).view(np.uint64)
+            return (*flat, fp, *(t.column(k).combine_chunks() for k in range(5, columns)))
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < rows:
+                continue
+            key = np.concatenate([b.column(0).to_numpy() for b in held])
+            cut = int(np.flatnonzero(key == key[-1])[0])
+            if not cut:
+                continue
+            table = pa.Table.from_batches(held)
+            held = table.slice(0, cut).to_batches()
+            yield from found(*arrays())
+            held = table.slice(cut).to_batches()
+            size -= cut
+        if held:
+            yield from found(*arrays())
+
+    return run
+
+
+def _allowed(i: np.ndarray, j: np.ndarray, n: np.ndarray, root: np.ndarray, share: float) -> np.ndarray:
+    """Whether pairs are of different roots and of sizes that allow the share."""
+    return (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9)
+
+
 def _search(bits: int, share: float, every: bool):
     """Candidate pairs (a, b, far) of rows (key, h, n, root, fp) sorted by key: of different roots, with sizes that allow the
-    share, within ``bits``. Unless ``every``, only the nearest and the least partner of each text of a group."""
+    share, within ``bits``. Only the nearest and the least partner of each text of a group; with ``every``, one row for a
+    text with candidates, (a, b) with the first of those that hang together by them."""
 
     def found(key: np.ndarray, h: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         index = GrayIndex(key, fp)
@@ -175,12 +222,13 @@ def _search(bits: int, share: float, every: bool):
         nearest, least = np.full(len(h), -1), np.full(len(h), -1)
         least_far = np.zeros(len(h), np.int64)
         nearest_far = np.full(len(h), 1 << 30)
+        label = places = np.arange(len(h))
         for i, j, far in index.near(bits):
-            ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j]) - 1e-9)
+            ok = _allowed(i, j, n, root, share)
             i, j, far = i[ok], j[ok], far[ok]
             if every:
                 if len(i):
-                    yield _pairs(h[i], h[j], far)
+                    label = lowest(len(h), np.concatenate((places, i)), np.concatenate((label, j)))
                 continue
             for x, y in ((i, j), (j, i)):
                 order = np.lexsort((h[y], far))[::-1]  # the last of several assignments stays: the best
@@ -191,26 +239,66 @@ def _search(bits: int, share: float, every: bool):
                 a, b, d = x[order], y[order], far[order]
                 better = (least[a] < 0) | (h[b] < h[least[a]])
                 least[a[better]], least_far[a[better]] = b[better], d[better]
+        if every:
+            at = np.flatnonzero(label != places)
+            if len(at):
+                yield _pairs(h[at], h[label[at]], np.zeros(len(at)))
+            return
         at = np.flatnonzero(nearest >= 0)
         if len(at):
             yield _pairs(np.concatenate((h[at], h[at])), np.concatenate((h[nearest[at]], h[least[at]])), np.concatenate((nearest_far[at], least_far[at])))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            new.append(batch.column(4).flatten().to_numpy().reshape(-1, WIDE).view(np.uint64))
-            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-            if len(held[0]) < 20_000:
-                continue
-            cut = int(np.flatnonzero(held[0] == held[0][-1])[0])
-            if cut:
-                yield from found(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held and len(held[0]):
-            yield from found(*held)
+    return _by_key(found, 20_000, 5)
 
-    return run
+
+def _joining(bits: int, share: float):
+    """Links (a, b, far) of rows (key, h, n, root, fp, shingles) sorted by key that join texts of different roots: of the
+    pairs within ``bits`` all that no link found before has joined are verified on their sets."""
+
+    def found(key: np.ndarray, h: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, shingles: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(key, fp)
+        h, n, shingles = h[index.order], n[index.order], shingles.take(pa.array(index.order))
+        _, label = np.unique(root[index.order], return_inverse=True)
+        values, ids = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+        ends = np.cumsum(n)
+        starts, mark = ends - n, np.zeros(len(values), np.int32)
+
+        def shared(i: int, js: np.ndarray) -> np.ndarray:
+            """The number of values that a set has in common with each of several."""
+            mark[ids[starts[i] : ends[i]]] = 1
+            lo, hi = js.min(), js.max() + 1
+            if ends[hi - 1] - starts[lo] <= 4 * n[js].sum():
+                out = np.add.reduceat(mark[ids[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo])[js - lo]
+            else:
+                out = np.array([mark[ids[starts[j] : ends[j]]].sum() for j in js])
+            mark[ids[starts[i] : ends[i]]] = 0
+            return out
+
+        a, b = [], []
+        for i, j, _ in index.near(bits):
+            ok = _allowed(i, j, n, label, share)
+            order = np.argsort(i[ok], kind="stable")
+            i, j = i[ok][order], j[ok][order]
+            for x, js in zip(*_runs(i, j), strict=True):
+                js = js[label[js] != label[x]]
+                if not len(js):
+                    continue
+                m = shared(x, js)
+                for y in js[m >= share * (n[x] + n[js] - m) - 1e-9]:
+                    if label[x] != label[y]:
+                        a.append(h[x])
+                        b.append(h[y])
+                        label[label == label[y]] = label[x]
+        if a:
+            yield _pairs(np.array(a), np.array(b), np.zeros(len(a)))
+
+    return _by_key(found, HOT, 6)
+
+
+def _runs(i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """The distinct values of a sorted ``i``, and the values of ``j`` at each."""
+    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.empty(0, np.int64)
+    return i[first].tolist(), np.split(j, first[1:]) if len(i) else []
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
@@ -223,7 +311,12 @@ def _candidates(routed: DataFrame, bits: int, share: float, every: bool) -> Data
 
 
 def _blocks(n: Column) -> Column:
-    return F.ceil(n / F.lit(HOT))
+    return F.ceil(n / F.lit(HOT)).cast("long")
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins with a staged table of keys: it is broadcast unless it is large."""
+    return rows.join(F.broadcast(keys), "key", how) if keys.count() <= 1 << 20 else join_groups(rows, keys, ["key"], how)
 
 
 def near_links(reps: DataFrame, texts: int, sets_of, share: float = SHARE) -> DataFrame:
@@ -234,47 +327,68 @@ def near_links(reps: DataFrame, texts: int, sets_of, share: float = SHARE) -> Da
     hashed = F.transform(masks, lambda m: F.xxhash64(m["k"], *(F.col("fp")[j].bitwiseAND(m[f"w{j}"]) for j in range(WIDE))))
     keyed = reps.where("n > 0").select("h", "n", "fp", F.explode(hashed).alias("key"))
     hot = staged(keyed.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT), "near-hot")
-    if hot.isEmpty():
-        first, hot = keyed, None
-    else:
+    is_hot = not hot.isEmpty()
+    first = keyed
+    if is_hot:
         block = F.when(F.col("m").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("h", "key"), _blocks(F.col("m")))))
-        first = join_groups(keyed, hot, ["key"], "left").withColumn("key", block)
+        first = _with_keys(keyed, hot, "left").withColumn("key", block)
     near = staged(_candidates(first.withColumn("root", F.col("h")), bits, share, False), "near-first")
     # of each text's partners, at most two of every sample, the nearest and the least
     best = near.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "b"))), 1, NEAREST).alias("nearest"), F.min("b").alias("least"))
     pairs = best.select("a", F.explode(F.array_union("nearest.b", F.array("least"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = staged(pairs, "near-pairs")
     some = near.select(F.col("a").alias("h")).distinct()
-    if hot is not None:
-        some = some.union(join_groups(keyed, hot, ["key"]).select("h")).distinct()
+    if is_hot:
+        some = some.union(_with_keys(keyed, hot).select("h")).distinct()
     some = staged(some, "near-some")
+    discard(near)
     sets = staged(sets_of(some), "near-sets")
-    edges = staged(_verified(staged(pairs, "near-pairs"), sets, share), "near-links")
+    edges = staged(_verified(pairs, sets, share), "near-links")
+    discard(pairs)
     roots = components(edges)
-    rows = join_groups(keyed, some, ["h"])
-    rows = join_groups(rows, roots.withColumnRenamed("node", "h"), ["h"], "left").withColumn("root", F.coalesce("root", "h"))
-    if hot is not None:
-        rows = _block_pairs(staged(rows, "near-rooted"), hot)
-    pairs = _candidates(rows, bits, share, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(_verified(staged(pairs, "near-pairs"), sets, share), "near-links")
-    return roots if more.isEmpty() else components(edges.union(more))
-
-
-def _block_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Of rows (key, h, n, fp, root) those of hot keys under one key for each pair of blocks that meet; a block holds
+    rooted = join_groups(reps.where("n > 0").select("h", "n", "fp"), some, ["h"])
+    rooted = join_groups(rooted, roots.withColumnRenamed("node", "h"), ["h"], "left").withColumn("root", F.coalesce("root", "h"))
+    rooted = staged(rooted, "near-rooted")
+    discard(some)
+    rows = rooted.select("h", "n", "fp", "root", F.explode(hashed).alias("key"))  # the texts are joined before they are routed
+    if is_hot:
+        rows = _block_pairs(rows, hot)
+    stars = staged(_candidates(rows, bits, share, True).select("a", "b").distinct(), "near-stars")
+    if not stars.isEmpty():
+        clusters = components(stars)
+        members = clusters.select(F.col("node").alias("h"), F.col("root").alias("key")).union(clusters.select("root", F.col("root").alias("key")).distinct())
+        rows = staged(join_groups(rooted, members, ["h"]).select("key", "h", "n", "fp", "root"), "near-clusters")
+        weight = 1 + F.col("n") / F.lit(WEIGHT)
+        large = staged(rows.groupBy("key").agg(F.sum(weight).alias("m")).where(F.col("m") > HOT), "near-hot")
+        met = rows if large.isEmpty() else _block_pairs(rows, large, weight)
+        met = join_groups(met, sets, ["h"]).select("key", "h", "n", "root", "fp", "shingles").repartition("key").sortWithinPartitions("key")
+        more = staged(met.mapInArrow(_joining(bits, share), "a long, b long, far int").select("a", "b"), "near-links")
+        if not more.isEmpty():
+            before, roots = roots, components(edges.union(more))
+            discard(before)
+        for done in (clusters, rows, large, more):
+            discard(done)
+    for done in (hot, sets, edges, rooted, stars):
+        discard(done)
+    return roots
+
+
+def _block_pairs(rows: DataFrame, hot: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Of rows (key, h, n, fp, root) those of hot keys under one key for each pair of blocks that meet; a block weighs
     about HOT texts, either all of the key's commonest root or none of it. Blocks of that root don't meet each other."""
-    tagged = join_groups(rows, hot.select("key", F.lit(True).alias("hot")), ["key"], "left")
-    large = tagged.where("hot")
-    roots = large.groupBy("key", "root").agg(F.count("*").alias("m"))
-    most = roots.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("m"))
-    most = staged(most.select("key", F.col("most.root").alias("common"), _blocks(F.col("most.m")).alias("bulk"), _blocks(F.col("m") - F.col("most.m")).alias("open")), "near-blocks")
-    placed = join_groups(large, most.where("open > 0"), ["key"])
+    large = _with_keys(rows, hot.select("key"))
+    roots = large.groupBy("key", "root").agg(F.sum(F.lit(1) if weight is None else weight).alias("m"))
+    most = roots.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("roots"))
+    open_blocks = F.when(F.col("roots") == 1, 0).otherwise(F.greatest(_blocks(F.col("m") - F.col("most.m")), F.lit(1))).cast("long")
+    most = staged(most.select("key", F.col("most.root").alias("common"), _blocks(F.col("most.m")).alias("bulk"), open_blocks.alias("open")), "near-blocks")
+    placed = _with_keys(large, most.where("open > 0"))
     apart = F.col("root") != F.col("common")
     spread = F.xxhash64("h", "key")
     own = F.when(apart, F.col("bulk") + F.pmod(spread, F.greatest("open", F.lit(1)))).otherwise(F.pmod(spread, F.col("bulk")))
     others = F.sequence(F.when(apart, F.lit(0).cast("long")).otherwise(F.col("bulk")), F.col("bulk") + F.col("open") - 1)
     met = placed.withColumn("own", own).withColumn("other", F.explode(others))
     met = met.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-    return tagged.where("hot is null").select("key", "h", "n", "fp", "root").unionByName(met.select("key", "h", "n", "fp", "root"))
+    return _with_keys(rows, hot.select("key"), "left_anti").select("key", "h", "n", "fp", "root").unionByName(met.select("key", "h", "n", "fp", "root"))
 
 
 def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, share: float = SHARE) -> DataFrame:
@@ -283,18 +397,21 @@ def simhash_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words are one shingle; null and empty texts are alike. All columns, whatever their names, come back
     unchanged; an empty table stays empty. Very long texts are read whole, 4080 shingles at a time."""
     text_batches(df.sparkSession, rows=256)
-    whole = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    whole = staged(whole.select("row", "id", "rid", _sketches(F.col("text"), shingle).alias("s")).select("row", "id", "rid", "s.*"), "near")
-    firsts = whole.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "rid")).alias("first"))
+    docs = with_row_id(df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "rid")
+    whole = staged(docs.select("id", "rid", _sketches(F.col("text"), shingle).alias("s")).select("id", "rid", "s.*"), "near")
+    firsts = whole.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("nil"), "id", "rid", "n", "fp")).alias("first"))
     firsts = staged(firsts, "near-firsts")
-    reps = staged(whole.select("rid", "h", "n", "fp").join(firsts.select(F.col("first.rid").alias("rid")), "rid", "left_semi").drop("rid"), "near-reps")
+    discard(whole)
+    reps = firsts.select("h", "first.n", "first.fp")
 
     def sets_of(hashes: DataFrame) -> DataFrame:
-        rids = hashes.join(firsts, "h").select(F.col("first.rid").alias("rid"))
-        texts = whole.select("rid", "h", F.col("row").getField(text_col).alias("text")).join(rids, "rid", "left_semi")
-        return texts.select("h", _sets(F.col("text"), shingle).alias("shingles"))
+        rids = hashes.join(firsts, "h").select("h", F.col("first.rid.f").alias("f"), F.col("first.rid.r").alias("r"))
+        return docs.select(F.col("rid.f").alias("f"), F.col("rid.r").alias("r"), "text").join(rids, ["f", "r"]).select("h", _sets(F.col("text"), shingle).alias("shingles"))
 
     roots = near_links(reps, reps.count(), sets_of, share)
     rooted = firsts.join(roots, firsts["h"] == roots["node"], "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     stays = rooted.groupBy("root").agg(F.min("first").alias("keep")).select(F.col("keep.rid").alias("rid"))
-    return whole.join(staged(stays, "near-kept"), "rid", "left_semi").select("row.*")
+    kept = staged(stays, "near-kept")
+    discard(firsts)
+    discard(roots)
+    return docs.join(kept, "rid", "left_semi").select("row.*")

@@ -7,7 +7,7 @@ import pytest
 from test_dedup_ops import docs, roots
 
 import corpus_pipeline
-from quillon.llm import near_dedup
+from quillon.llm import common, near_dedup
 
 
 def shingles(text):
@@ -91,3 +91,41 @@ def test_near_dedup_edges(spark):
     assert out.columns == df.columns
     assert sorted(r.doc_id for r in out.collect()) == [3, 7, 9]
     assert near_dedup.simhash_dedup(df.limit(0)).count() == 0
+
+
+def near_copies(n, seed=11):
+    """A group of near copies whose similarities spread about the bound, and the ids that brute force keeps."""
+    rng = random.Random(seed)
+    base, rows = [f"w{k}" for k in range(160)], []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 12)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("hot", [64, 2048])
+def test_second_pass_lists_no_pairs(spark, monkeypatch, hot):
+    """A group of near copies that don't link makes rows in proportion to its texts, in no table more, and keeps the result."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    rows, made, real = near_copies(300), {}, near_dedup.staged
+
+    def staged(df, tag, by=None):
+        made[tag] = max(made.get(tag, 0), (out := real(df, tag, by)).count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", staged)
+    got = sorted(r.doc_id for r in near_dedup.simhash_dedup(docs(spark, rows)).collect())
+    assert got == brute_near(rows) and 1 < len(got) < 300
+    assert made["near-pairs"] <= (near_dedup.NEAREST + 1) * len(rows)
+    assert made["near-links"] < made["near-pairs"] and made["near-stars"] <= near_dedup.sampling(300, 0.8)[2] * len(rows)
+
+
+def test_near_dedup_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    source = f"{tmp_path}/docs.parquet"
+    docs(spark, near_copies(60)).write.parquet(source)
+    out = near_dedup.simhash_dedup(spark.read.parquet(source))
+    assert sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "quillon").iterdir()) == ["near-kept"]
+    assert 1 < out.count() < 60
